@@ -139,12 +139,11 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end
     def cut(batches):
         enc = encoder(tokenizer_path)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for run in balanced(texts, 1 << 20):
-                ids, n = enc.encode([texts[k] for k in run])
+            for first, last in balanced(b.column(1), 4 << 20):
+                ids, n = enc.encode(b.column(1).slice(first, last - first))
                 ends = np.cumsum(n)
                 rows, piece, start, length, data = [], [], [], [], []
-                for k, begin, end in zip(run, ends - n, ends, strict=True):
+                for k, begin, end in zip(range(first, last), ends - n, ends, strict=True):
                     own = np.append(ids[begin:end], np.uint32(end_id)).astype("<u4", copy=False)
                     for p, s in enumerate(range(0, len(own), capacity)):
                         part = own[s : s + capacity]

@@ -1,105 +1,143 @@
 """Encoding whole texts through their repeated units.
 
 A text is cut at boundaries where the tokenizer's own pre-tokenisation always cuts, so the ids of the
-text are the ids of its units one after another. Each unit is encoded once by the tokenizers library
-and then looked up, which is several times faster than encoding every text whole.
+text are the ids of its units one after another. Arrow splits the texts and numbers the units; each new
+unit is encoded by the tokenizers library and then looked up, which is several times faster than
+encoding every text whole. Texts in which such boundaries are not certain (control characters, unusual
+or doubled white space, special strings) are encoded whole by the library.
 """
 
 from __future__ import annotations
 
-import re
-from itertools import chain
+from itertools import compress
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Python counts these as white space and the tokenizers' patterns do not: such texts stay whole.
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
-#: Byte-level pre-tokens start at a space or after white space, never inside a run of other characters.
-_BYTE_UNITS = re.compile(r" ?[^\s]+|\s+(?!\S)|\s+")
+#: Control characters, and white space other than single spaces and line ends.
+_IRREGULAR = r"[\x00-\x09\x0b-\x1f\x7f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|<\|"
+_SEPARATOR = "\x1f"
+#: Units are encoded together in texts of so many, with a mark between them whose id is known.
+_TOGETHER = 2000
 
 
 class UnitEncoder:
     """Ids and lengths of texts under one ``tokenizers`` file, with bounded memory.
 
-    ``drops_space``: the pre-tokenizer removes white space, so texts are cut at spaces and line ends.
-    Otherwise (byte-level) they are cut before a space that follows a visible character and around
-    other white space. Special strings inside texts are matched as the library does by default.
-    At most ``max_units`` units (or ``max_chars`` characters of them) are remembered; beyond that the
-    memory starts anew, which costs time only.
+    Two kinds of pre-tokenizer are told apart. One removes white space: units end at spaces and line
+    ends. The other (byte-level) keeps it: units start at a space, and a line end is a unit. Both cut
+    between a letter and a full stop or comma. Special strings inside texts are matched as the library
+    does by default. At most ``max_units`` units are remembered; beyond that the memory starts anew,
+    which costs time only.
     """
 
-    def __init__(self, path: str, max_units: int = 300_000, max_chars: int = 20_000_000):
+    def __init__(self, path: str, max_units: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        pre = self.tokenizer.to_str().split('"pre_tokenizer":', 1)[1].split('"model":', 1)[0]
-        self.drops_space = '"behavior":"Removed"' in pre.replace(" ", "")
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.special_text = special
-        self.max_units, self.max_chars = max_units, max_chars
+        setup = self.tokenizer.to_str(pretty=False).replace(" ", "")
+        self.drops_space = '"behavior":"Removed"' in setup
+        self.lower = '"type":"Lowercase"' in setup
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(not s.startswith("<|") for s in self.special):
+            raise ValueError("special strings must start with <|")
+        # Lower case changes how some letters join with combining marks, so such texts stay whole.
+        self.irregular = _IRREGULAR + (r"|\pM" if self.lower else "")
+        self.mark = " \x01 " if self.drops_space else "\n"
+        (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
+        self.max_units = max_units
         self._clear()
 
     def _clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.chars = 0
         self.flat = np.zeros(0, np.uint32)
         self.begin = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
 
-    def units(self, text: str) -> list[str]:
-        if any(s in text for s in self.special_text):
-            return list(chain.from_iterable([p] if self.special.fullmatch(p) else self._plain(p) for p in self.special.split(text) if p))
-        return self._plain(text)
-
-    def _plain(self, text: str) -> list[str]:
-        if _ODD_SPACE.search(text):
-            return [text]
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, units: list[str]) -> np.ndarray:
+        """The remembered place of each of these different units."""
+        get = self.index.get
+        at = np.fromiter((get(u, -1) for u in units), np.int64, len(units))
+        if (at < 0).any():
+            if len(self.index) + int((at < 0).sum()) > self.max_units:
+                self._clear()
+                at[:] = -1
+            new = list(compress(units, (at < 0).tolist()))
+            plain = [u for u in new if u and u != self.mark]
+            ids = self._whole([self.mark.join(plain[k : k + _TOGETHER]) + self.mark for k in range(0, len(plain), _TOGETHER)])
+            ids = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+            stop = np.flatnonzero(ids == self.mark_id)
+            if len(stop) != len(plain):  # the mark is part of no unit, so this doesn't happen
+                raise ValueError("units could not be told apart")
+            begin = len(self.flat) + np.concatenate([[0], stop + 1])[:-1] if len(plain) else np.zeros(0, np.int64)
+            size = len(self.flat) + stop - begin
+            extra = [u for u in new if not u or u == self.mark]
+            tail = self._whole(extra)
+            held = len(self.flat) + len(ids)
+            for t in tail:
+                begin, size, held = np.append(begin, held), np.append(size, len(t)), held + len(t)
+            base = len(self.index)
+            self.index.update(zip(plain + extra, range(base, base + len(new)), strict=True))
+            self.flat = np.concatenate([self.flat, ids, *tail])
+            self.begin, self.size = np.concatenate([self.begin, begin.astype(np.int64)]), np.concatenate([self.size, size.astype(np.int64)])
+            get = self.index.get
+            at = np.fromiter((get(u, -1) for u in units), np.int64, len(units))
+        return at
+
+    def _look_up(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The remembered place of every unit of all texts, and the number of units of each text."""
+        if self.lower:
+            texts = pc.ascii_lower(texts)
+        texts = pc.replace_substring_regex(texts, r"(\pL)([.,])", "\\1" + _SEPARATOR + "\\2")
         if self.drops_space:
-            return text.replace("\n", " ").split(" ")
-        return _BYTE_UNITS.findall(text)
-
-    def _learn(self, units: list[list[str]]) -> None:
-        new = set().union(*units)
-        new.difference_update(self.index)
-        if not new:
-            return
-        if len(self.index) + len(new) > self.max_units or self.chars > self.max_chars:
-            self._clear()
-            new = set().union(*units)
-        order = list(new)
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(order, add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        base = len(self.index)
-        self.index.update(zip(order, range(base, base + len(order))))
-        self.chars += sum(map(len, order))
-        begin = len(self.flat) + np.cumsum(size) - size
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))])
-        self.begin, self.size = np.concatenate([self.begin, begin]), np.concatenate([self.size, size])
-
-    def _look_up(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Index of every unit of all texts, and the number of units of each text."""
-        units = [self.units(t) for t in texts]
-        self._learn(units)
-        count = np.fromiter(map(len, units), np.int64, len(units))
-        at = self.index.__getitem__
-        return np.fromiter(map(at, chain.from_iterable(units)), np.int64, int(count.sum())), count
-
-    def lengths(self, texts: list[str]) -> np.ndarray:
+            texts = pc.replace_substring(pc.replace_substring(texts, "\n", _SEPARATOR), " ", _SEPARATOR)
+        else:
+            texts = pc.replace_substring(pc.replace_substring(texts, " ", _SEPARATOR + " "), "\n", f"{_SEPARATOR}\n{_SEPARATOR}")
+        split = pc.split_pattern(texts, _SEPARATOR)
+        coded = pc.dictionary_encode(split.flatten())
+        at = self._learn(coded.dictionary.to_pylist())
+        return at[coded.indices.to_numpy()], pc.list_value_length(split).to_numpy().astype(np.int64)
+
+    def _by_kind(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        odd = pc.match_substring_regex(texts, self.irregular).to_numpy(zero_copy_only=False)
+        return np.flatnonzero(~odd), np.flatnonzero(odd)
+
+    def lengths(self, texts: pa.Array) -> np.ndarray:
         """Number of ids of each text."""
-        index, count = self._look_up(texts)
-        ends = np.cumsum(count)
-        total = np.concatenate([[0], np.cumsum(self.size[index])])
-        return total[ends] - total[ends - count]
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        out = np.zeros(len(texts), np.int64)
+        plain, odd = self._by_kind(texts)
+        if len(plain):
+            at, count = self._look_up(texts.take(pa.array(plain)) if len(odd) else texts)
+            total, ends = np.concatenate([[0], np.cumsum(self.size[at])]), np.cumsum(count)
+            out[plain] = total[ends] - total[ends - count]
+        if len(odd):
+            out[odd] = [len(x) for x in self.tokenizer.encode_batch_fast(texts.take(pa.array(odd)).to_pylist(), add_special_tokens=False)]
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts in a row (uint32), and the number of ids of each text."""
-        index, count = self._look_up(texts)
-        size = self.size[index]
-        total = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat[np.repeat(self.begin[index] - total[:-1], size) + np.arange(total[-1])]
-        ends = np.cumsum(count)
-        return ids, total[ends] - total[ends - count]
+        plain, odd = self._by_kind(texts)
+        n, ids = np.zeros(len(texts), np.int64), np.zeros(0, np.uint32)
+        if len(plain):
+            at, count = self._look_up(texts.take(pa.array(plain)) if len(odd) else texts)
+            size = self.size[at]
+            total, ends = np.concatenate([[0], np.cumsum(size)]), np.cumsum(count)
+            ids = self.flat[np.repeat(self.begin[at] - total[:-1], size) + np.arange(total[-1])]
+            n[plain] = total[ends] - total[ends - count]
+        if len(odd):
+            whole = self._whole(texts.take(pa.array(odd)).to_pylist())
+            ends = np.cumsum(n[plain])
+            parts: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+            for k, e, m in zip(plain.tolist(), ends.tolist(), n[plain].tolist(), strict=True):
+                parts[k] = ids[e - m : e]
+            for k, w in zip(odd.tolist(), whole, strict=True):
+                parts[k], n[k] = w, len(w)
+            ids = np.concatenate(parts)
+        return ids, n
 
 
 _ENCODERS: dict[str, UnitEncoder] = {}
@@ -115,14 +153,12 @@ def encoder(path: str) -> UnitEncoder:
     return _ENCODERS[path]
 
 
-def balanced(texts, max_bytes: int):
-    """Runs of rows (lists of row numbers) of about ``max_bytes`` each; a longer text has its own run."""
-    run, held = [], 0
-    for k, t in enumerate(texts):
-        if run and held + len(t) > max_bytes:
-            yield run
-            run, held = [], 0
-        run.append(k)
-        held += len(t)
-    if run:
-        yield run
+def balanced(texts: pa.Array, max_bytes: int):
+    """Slices ``(begin, end)`` of rows of about ``max_bytes`` each; a longer text has its own slice."""
+    size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, begin = np.cumsum(size), 0
+    while begin < len(size):
+        before = ends[begin] - size[begin]
+        end = max(begin + 1, int(np.searchsorted(ends, before + max_bytes, side="right")))
+        yield begin, end
+        begin = end

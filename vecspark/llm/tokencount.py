@@ -6,11 +6,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecspark.llm.textunits import encoder
+from vecspark.llm.textunits import balanced, encoder
 
 _VISIBLE_THEN_SPACE = re.compile(r"(?<=[^\s\x1c-\x1f]) ")
 
@@ -34,29 +35,24 @@ def safe_pieces(text: str, size: int, special: tuple[str, ...] = ()) -> list[str
     return out
 
 
-def token_lengths(texts: list[str], path: str, batch_chars: int, piece_chars: int) -> np.ndarray:
-    """Token count of each text; pieces of long texts go to batches of about ``batch_chars``."""
+def token_lengths(texts: pa.Array, path: str, batch_bytes: int, piece_chars: int) -> np.ndarray:
+    """Token count of each text, in batches balanced by bytes; texts over ``piece_chars`` go in pieces."""
     enc = encoder(path)
     out = np.zeros(len(texts), np.int64)
-    pieces, owner, held = [], [], 0
-
-    def flush():
-        if pieces:
-            np.add.at(out, owner, enc.lengths(pieces))
-
-    for k, text in enumerate(texts):
-        for piece in safe_pieces(text, piece_chars, tuple(enc.special_text)):
-            if pieces and held + len(piece) > batch_chars:
-                flush()
-                pieces, owner, held = [], [], 0
-            pieces.append(piece)
-            owner.append(k)
-            held += len(piece)
-    flush()
+    owner = np.arange(len(texts))
+    longer = np.flatnonzero(pc.utf8_length(texts).to_numpy(zero_copy_only=False) > piece_chars)
+    if len(longer):
+        cut = [[t] for t in texts.to_pylist()]
+        for k in longer.tolist():
+            cut[k] = safe_pieces(cut[k][0], piece_chars, tuple(enc.special))
+        owner = np.repeat(owner, [len(c) for c in cut])
+        texts = pa.array([p for c in cut for p in c], pa.string())
+    for begin, end in balanced(texts, batch_bytes):
+        np.add.at(out, owner[begin:end], enc.lengths(texts.slice(begin, end - begin)))
     return out
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 1 << 20, piece_chars: int = 1 << 17) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 4 << 20, piece_chars: int = 1 << 18) -> DataFrame:
     """``(id, n_bytes, n_tokens, over_limit)`` of every row of ``docs``.
 
     Only the id and the text leave the scan, and only lengths come back. No shuffle: one pass over the
@@ -68,8 +64,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
 
     def count(batches):
         for b in batches:
-            texts = b.column(2).to_pylist()
-            n = token_lengths(texts, tokenizer_path, batch_chars, piece_chars)
+            n = token_lengths(b.column(2), tokenizer_path, batch_bytes, piece_chars)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n)], names=["id", "n_bytes", "n_tokens"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))

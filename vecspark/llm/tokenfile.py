@@ -97,15 +97,15 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             return pa.RecordBatch.from_pylist([{"shard": shard, "block": block, "n_ids": len(ids), "doc_ids": doc_ids, "lengths": lengths, "data": encode_block(ids)}], schema=arrow)
 
         for b in batches:
-            keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for run in balanced(texts, 1 << 20):
-                ids, n = enc.encode([texts[k] for k in run])
+            keys = b.column(0).to_pylist()
+            for first, last in balanced(b.column(1), 4 << 20):
+                ids, n = enc.encode(b.column(1).slice(first, last - first))
                 ends = np.cumsum(n)
                 ids = np.insert(ids, ends, np.uint32(end_id))
                 if held and held + len(ids) > block_ids:
                     yield row()
                     doc_ids, lengths, parts, held, block = [], [], [], 0, block + 1
-                doc_ids += [keys[k] for k in run]
+                doc_ids += keys[first:last]
                 lengths += (n + 1).tolist()
                 parts.append(ids)
                 held += len(ids)
