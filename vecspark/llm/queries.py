@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.llm import packing, tokencount, tokenfile
+from vecspark.llm import linefreq, packing, simhash, tokencount, tokenfile
 from vecspark.llm.shared import Workspace
 
 
@@ -29,12 +29,20 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(digest, capacity=4096)
 
 
+def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linefreq.line_frequency(_table(spark, sf_dir, "documents")).drop("removed_lines")
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark, "tokenfiles")
     tokenfile.write_token_files(_table(spark, sf_dir, "documents"), f"{work.path}/ids", _vocabulary("byte_bpe_50k.json"), end_id=2)
     return tokenfile.read_token_files(spark, f"{work.path}/ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op9_token_files)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op4_line_frequency, op8_simhash, op9_token_files)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_line_frequency": linefreq.ORACLE}
