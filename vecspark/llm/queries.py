@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.llm import linefreq, packing, simhash, tokencount, tokenfile
+from vecspark.llm import linededup, linefreq, packing, quality_gam, simhash, tokencount, tokenfile
 from vecspark.llm.shared import Workspace
 
 
@@ -33,6 +33,15 @@ def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linefreq.line_frequency(_table(spark, sf_dir, "documents")).drop("removed_lines")
 
 
+def op6_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gam.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), F.md5("text").alias("text_md5"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
 
@@ -43,6 +52,6 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_token_files(spark, f"{work.path}/ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op4_line_frequency, op8_simhash, op9_token_files)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op4_line_frequency, op6_quality_gam, op7_line_dedup, op8_simhash, op9_token_files)}
 
-ORACLE_SQL: dict[str, str] = {"op4_line_frequency": linefreq.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op4_line_frequency": linefreq.ORACLE, "op7_line_dedup": linededup.ORACLE}
