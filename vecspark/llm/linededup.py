@@ -5,10 +5,11 @@ lines are near if one word replaced, put in or left out makes them equal. A line
 line equals it or is near it; earlier means a smaller (id, hash of text, line number). Lines under
 ``min_words`` words are left alone: with five words or more, one edit means a similarity of 0.8 or more.
 
-Every line has as variants itself and its words without any one of them. Lines that differ in a replaced
-word share the variant without that place; a line that lacks a word equals a variant of the other. So
-earliest lines are kept by (variant, place), members ask for the earliest of theirs, and the edit distance
-of the pair is verified. A variant that very many lines share costs one row for each of them and no pairs.
+Every line has as variants the words before and after each place, with the word at that place left out
+or with nothing left out there. Lines with an equal variant are one edit apart or less: one word replaced,
+or one put in. So the earliest line of each variant is kept, the others are joined with it, and the edit
+distance of the pair is verified. A variant that very many lines share costs one row for each of them and
+no pairs.
 
 Variants are emitted only for lines that can be near another one: with one edit, the first or the last
 half of the words is untouched, so such lines share a half with a different line. That filter is exact.
@@ -25,13 +26,25 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), SPACE), lambda w: w != "")
+    """The words of a line; a line without any has one empty word."""
+    return F.split(F.btrim(F.lower(line), F.lit(" \t\n\x0b\f\r")), SPACE)
 
 
-def _half(words: Column, n: Column, length: Column, last: bool) -> Column:
-    """Key of half of a line, in the class of pairs whose shorter line has ``length`` words."""
-    m = F.floor(length / 2).cast("int")
-    return F.xxhash64(length, F.lit(last), F.slice(words, n - m + 1 if last else F.lit(1), m))
+def _half(words: Column, n: Column, m: Column, last: bool) -> Column:
+    """Key of the first or last ``m`` words of a line."""
+    return F.xxhash64(m, F.lit(last), F.slice(words, n - m + 1 if last else F.lit(1), m))
+
+
+def _chain(words: Column) -> Column:
+    """Hash of the first k words, for k from 0 to their number."""
+    return F.aggregate(words, F.array(F.lit(0).cast("bigint")), lambda a, w: F.array_append(a, F.xxhash64(F.element_at(a, -1), w)))
+
+
+def _variants(words: Column) -> Column:
+    """Hashes of (place, words before, words behind), with the word at the place left out or none."""
+    n, ahead, behind = F.size(words), F.col("_ahead"), F.col("_behind")
+    key = lambda i, skip: F.xxhash64(i, F.get(ahead, i), F.get(behind, n - i - skip))
+    return F.concat(F.transform(F.sequence(F.lit(0), n - 1), lambda i: key(i, 1)), F.transform(F.sequence(F.lit(0), n), lambda i: key(i, 0)))
 
 
 def within_one(a: Column, b: Column) -> Column:
@@ -56,20 +69,25 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     are one document (each copy of it loses the same lines). Texts are read to hash their lines and again
     for candidate lines; only hashes, numbers and candidate lines are shuffled.
     """
+    if min_words < 2:
+        raise ValueError("one edit makes any two lines of one word equal: min_words must be 2 or more")
     work = Workspace(docs.sparkSession, "linededup")
     base = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text"))
     lines = base.select("_id", "_th", F.posexplode(F.split("_text", "\n")).alias("_line", "_s")).withColumn("_w", _words(F.col("_s")))
     lines = lines.withColumn("_n", F.size("_w")).filter(F.col("_n") >= min_words)
     n, w = F.col("_n"), F.col("_w")
-    halves = [_half(w, n, n - k, last) for k in (0, 1) for last in (False, True)]
+    # Of two lines with n and n or n + 1 words, floor(n / 2) words at either end are equal. An odd line has
+    # the same half in both classes.
+    upper, lower = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
+    halves = [_half(w, n, upper, last) for last in (False, True)] + [F.when(lower != upper, _half(w, n, lower, last)) for last in (False, True)]
     lines = work.stage(lines.select("_id", "_th", "_line", F.xxhash64("_w").alias("_h"), *[h.alias(f"_k{k}") for k, h in enumerate(halves)]), "lines")
     order = F.struct("_id", "_th", "_line")
     distinct = lines.groupBy("_h").agg(F.min(order).alias("_first"), F.count("*").alias("_seen"), *[F.min(f"_k{k}").alias(f"_k{k}") for k in range(4)])
     distinct = work.stage(distinct, "distinct")
 
-    keyed = distinct.select("_h", F.explode(F.array(*[f"_k{k}" for k in range(4)])).alias("_key"))
-    shared = keyed.groupBy("_key").agg(F.min("_h").alias("lo"), F.max("_h").alias("hi")).filter("lo < hi").select("_key")
-    asked = keyed.join(shared, "_key", "left_semi").select("_h").distinct()
+    keyed = distinct.select("_h", F.explode(F.array_compact(F.array(*[f"_k{k}" for k in range(4)]))).alias("_key"))
+    shared = work.stage(_shared(keyed, "_key"), "halves")
+    asked = keyed.join(small(shared, 16), "_key", "left_semi").select("_h").distinct()
     wanted = distinct.join(asked, "_h", "left_semi").select("_first._id", "_first._th", F.col("_first._line").alias("_line"))
     wanted = work.stage(wanted.groupBy("_id", "_th").agg(F.collect_set("_line").alias("_lines")).withColumnsRenamed({"_id": "_i", "_th": "_t"}), "wanted")
     found = base.dropDuplicates(["_id", "_th"]) if _repeats(lines) else base
@@ -78,15 +96,12 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = found.select(order.alias("_o"), _words(F.get("_all", F.col("_line"))).alias("_w"))
     found = work.stage(found.select(F.xxhash64("_w").alias("_h"), "_o", "_w"), "candidates")
 
-    # i: the place left out, or -1 for the whole line.
-    left_out = lambda i: F.when(i >= 0, F.concat(F.slice("_w", 1, F.greatest(i, F.lit(0))), F.slice("_w", i + 2, F.size("_w")))).otherwise(F.col("_w"))
-    variants = found.select("_h", "_o", F.explode(F.transform(F.sequence(F.lit(-1), F.size("_w") - 1), lambda i: F.struct(i.alias("i"), F.xxhash64(left_out(i)).alias("v")))).alias("x"))
-    variants = work.stage(variants.select("_h", "_o", "x.i", "x.v"), "variants")
-    heads = variants.groupBy("v", "i").agg(F.min(F.struct("_o", "_h")).alias("head"))
-    short = heads.filter("i >= 0").groupBy("v").agg(F.min("head").alias("head")).select("v", F.lit(-2).alias("i"), "head")
-    heads = work.stage(heads.unionByName(short).select(F.col("v").alias("hv"), F.col("i").alias("hi"), "head"), "heads")
-    asks = variants.withColumn("ask", F.explode(F.when(F.col("i") >= 0, F.array(F.col("i"), F.lit(-1))).otherwise(F.array(F.lit(-2)))))
-    pairs = asks.join(heads, (F.col("v") == F.col("hv")) & (F.col("ask") == F.col("hi"))).filter(F.col("head._o") < F.col("_o"))
+    chains = found.withColumn("_ahead", _chain(F.col("_w"))).withColumn("_behind", _chain(F.reverse("_w")))
+    variants = chains.select("_h", F.explode(_variants(F.col("_w"))).alias("v"))
+    met = variants.join(small(work.stage(_shared(variants, "v"), "shared"), 16), "v", "left_semi")
+    met = work.stage(met.join(found.select(F.col("_h").alias("fh"), "_o"), F.col("_h") == F.col("fh")).select("v", "_o", "_h"), "met")
+    heads = met.groupBy("v").agg(F.min(F.struct("_o", "_h")).alias("head")).withColumnRenamed("v", "hv")
+    pairs = met.join(heads, F.col("v") == F.col("hv")).filter(F.col("head._o") < F.col("_o"))
     pairs = pairs.select(F.col("_h").alias("a"), F.col("head._h").alias("b")).distinct()
     own = found.select(F.col("_h").alias("ha"), F.col("_w").alias("wa"))
     other = found.select(F.col("_h").alias("hb"), F.col("_w").alias("wb"))
@@ -98,6 +113,11 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return work.stage(gone.groupBy("_id", "_th").agg(F.sort_array(F.collect_set("_line")).alias("_removed")), "removed")
 
 
+def _shared(keyed: DataFrame, key: str) -> DataFrame:
+    """Keys that at least two different lines (``_h``) have."""
+    return keyed.groupBy(key).agg(F.min("_h").alias("lo"), F.max("_h").alias("hi")).filter("lo < hi").select(key)
+
+
 def _repeats(lines: DataFrame) -> bool:
     """Whether some line number of a document comes twice, that is, a row is repeated."""
     return not lines.groupBy("_id", "_th", "_line").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
@@ -117,7 +137,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_removed"))
     text = F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
     removed = F.coalesce("_removed", F.array().cast("array<int>"))
-    before = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long")
+    before = F.when(F.col(text_col).isNull(), 0).otherwise(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1).cast("long")
     return df.withColumn("n_lines", before).withColumn(text_col, text).withColumn("removed_lines", removed).drop("_gi", "_gt", "_removed")
 
 
