@@ -97,7 +97,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = work.stage(found.select(F.xxhash64("_w").alias("_h"), "_o", "_w"), "candidates")
 
     chains = found.withColumn("_ahead", _chain(F.col("_w"))).withColumn("_behind", _chain(F.reverse("_w")))
-    variants = chains.select("_h", F.explode(_variants(F.col("_w"))).alias("v"))
+    variants = work.stage(chains.select("_h", F.explode(_variants(F.col("_w"))).alias("v")), "variants")
     met = variants.join(small(work.stage(_shared(variants, "v"), "shared"), 16), "v", "left_semi")
     met = work.stage(met.join(found.select(F.col("_h").alias("fh"), "_o"), F.col("_h") == F.col("fh")).select("v", "_o", "_h"), "met")
     heads = met.groupBy("v").agg(F.min(F.struct("_o", "_h")).alias("head")).withColumnRenamed("v", "hv")
@@ -137,7 +137,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_removed"))
     text = F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
     removed = F.coalesce("_removed", F.array().cast("array<int>"))
-    before = F.when(F.col(text_col).isNull(), 0).otherwise(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1).cast("long")
+    before = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long")
     return df.withColumn("n_lines", before).withColumn(text_col, text).withColumn("removed_lines", removed).drop("_gi", "_gt", "_removed")
 
 
