@@ -76,9 +76,10 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = base.select("_id", "_th", F.posexplode(F.split("_text", "\n")).alias("_line", "_s")).withColumn("_w", _words(F.col("_s")))
     lines = lines.withColumn("_n", F.size("_w")).filter(F.col("_n") >= min_words)
     n, w = F.col("_n"), F.col("_w")
-    # Of two lines with n and n or n + 1 words, floor(n / 2) words at either end are equal. An odd line has
-    # the same half in both classes.
-    upper, lower = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
+    # Of two lines with n and n or n + 1 words, floor(n / 2) words at either end are equal. For longer lines
+    # the half is rounded down to fours, so that most lines have the same half for both lengths.
+    half = lambda k: F.when(k < 16, F.floor(k / 2)).otherwise(4 * F.floor(k / 8)).cast("int")
+    upper, lower = half(n), half(n - 1)
     halves = [_half(w, n, upper, last) for last in (False, True)] + [F.when(lower != upper, _half(w, n, lower, last)) for last in (False, True)]
     lines = work.stage(lines.select("_id", "_th", "_line", F.xxhash64("_w").alias("_h"), *[h.alias(f"_k{k}") for k, h in enumerate(halves)]), "lines")
     order = F.struct("_id", "_th", "_line")
@@ -133,12 +134,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     gone = removed_lines(docs, id_col, text_col, min_words).withColumnsRenamed({"_id": "_gi", "_th": "_gt"})
     df = docs.drop("removed_lines", "n_lines").join(small(gone, 96), F.col(id_col).eqNullSafe(F.col("_gi")) & (F.xxhash64(text_col) == F.col("_gt")), "left")
-    lines = F.split(text_col, "\n")
+    df = df.withColumn("_ls", F.split(text_col, "\n"))  # a column of its own, so that no lambda splits again
+    lines = F.col("_ls")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_removed"))
     text = F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
     removed = F.coalesce("_removed", F.array().cast("array<int>"))
     before = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long")
-    return df.withColumn("n_lines", before).withColumn(text_col, text).withColumn("removed_lines", removed).drop("_gi", "_gt", "_removed")
+    return df.withColumn("n_lines", before).withColumn(text_col, text).withColumn("removed_lines", removed).drop("_gi", "_gt", "_removed", "_ls")
 
 
 ORACLE = r"""
