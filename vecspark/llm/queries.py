@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.llm import linededup, linefreq, packing, quality_gam, simhash, tokencount, tokenfile
+from vecspark.llm import adaptive_scan, linededup, linefreq, mixing, packing, quality_gam, sharding, simhash, tokencount, tokenfile
 from vecspark.llm.shared import Workspace
 
 
@@ -29,10 +29,31 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(digest, capacity=4096)
 
 
+def op3_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three arrivals of documents, compacted; each document with the shard that holds it."""
+    docs = _table(spark, sf_dir, "documents")
+    store = sharding.ShardStore(spark, f"{Workspace(spark, 'shards').path}/documents")
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    low, high = low or 0, high or 0
+    one, two = low + (high - low) // 3, low + 2 * (high - low) // 3
+    key = F.col("doc_id")
+    for arrival in (key.isNull() | (key <= one), (key > one) & (key <= two), key > two):
+        store.append(docs.filter(arrival))
+    store.compact()
+    store.vacuum()
+    text = F.coalesce("text", F.lit(""))
+    held = store.read().select("*", F.col("_metadata.file_name").alias("shard"), F.col("_metadata.file_size").alias("shard_bytes"))
+    return held.select("doc_id", "shard", "shard_bytes", F.octet_length(text).cast("long").alias("n_bytes"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"))
+
+
 def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linefreq.line_frequency(_table(spark, sf_dir, "documents")).drop("removed_lines")
 
 
+def op5_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adaptive_scan.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op6_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
 
@@ -52,6 +73,33 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_token_files(spark, f"{work.path}/ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op4_line_frequency, op6_quality_gam, op7_line_dedup, op8_simhash, op9_token_files)}
+#: The tree of sources, and the weights of its nodes (1 where there is none).
+LEVELS = ["domain", "lang", "source"]
+WEIGHTS = {"domain": {"domain0": 4.0, "domain1": 3.0, "domain2": 2.0, "domain3": 1.0}, "lang": {"en": 5.0, "de": 2.0, "fr": 2.0, "es": 1.0}}
+
+
+def domain() -> Column:
+    """The documents name no domain: sources are dealt to four by their checksum."""
+    return F.concat(F.lit("domain"), (F.crc32(F.encode(F.coalesce("source", F.lit("")), "utf-8")) % 4).cast("string"))
+
+
+def tokens_by_source(docs: DataFrame, work: Workspace) -> DataFrame:
+    """Id, leaf and token count of every document, written: texts are encoded once."""
+    counted = tokencount.token_counts(docs.withColumn("domain", domain()), _vocabulary("byte_bpe_50k.json"), also=tuple(LEVELS))
+    return work.stage(counted.select("doc_id", *LEVELS, "n_tokens"), "tokens")
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = tokens_by_source(_table(spark, sf_dir, "documents"), Workspace(spark, "mixtokens"))
+    return mixing.mix(tokens, LEVELS, mixing.weights(WEIGHTS, LEVELS), budget_share=1.0, max_epochs=2)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts, op2_best_fit_packing, op3_size_tiered_shards, op4_line_frequency, op5_adaptive_scan,
+        op6_quality_gam, op7_line_dedup, op8_simhash, op9_token_files, op10_mixing,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {"op4_line_frequency": linefreq.ORACLE, "op7_line_dedup": linededup.ORACLE}

@@ -52,22 +52,22 @@ def token_lengths(texts: pa.Array, path: str, batch_bytes: int, piece_chars: int
     return out
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 4 << 20, piece_chars: int = 1 << 18) -> DataFrame:
-    """``(id, n_bytes, n_tokens, over_limit)`` of every row of ``docs``.
+def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 4 << 20, piece_chars: int = 1 << 18, also: tuple[str, ...] = ()) -> DataFrame:
+    """``(id, n_bytes, n_tokens, over_limit)`` of every row of ``docs``, and the columns ``also``.
 
     Only the id and the text leave the scan, and only lengths come back. No shuffle: one pass over the
     partitions of the scan. Null text: counted as empty (0 bytes, 0 tokens, not over). Null ids and
     repeated rows are returned as they are. Empty table: empty result. Other columns are not carried.
     """
     kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("id", kind), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
+    schema = T.StructType([T.StructField("id", kind), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), *[T.StructField(f"_a{k}", docs.schema[c].dataType) for k, c in enumerate(also)]])
 
     def count(batches):
         for b in batches:
             n = token_lengths(b.column(2), tokenizer_path, batch_bytes, piece_chars)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n)], names=["id", "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), *b.columns[3:]], names=schema.names)
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"), *[F.col(c).alias(f"_a{k}") for k, c in enumerate(also)])
     out = rows.mapInArrow(count, schema)
-    return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), *[F.col(f"_a{k}").alias(c) for k, c in enumerate(also)])
