@@ -39,15 +39,16 @@ def centroids(x: np.ndarray, lists: int, rounds: int, seed: int) -> np.ndarray:
     return c
 
 
-def scan(x: np.ndarray, q: np.ndarray, keep: int, doubt: float) -> np.ndarray:
+def scan(x: np.ndarray, q: np.ndarray, keep: int, doubt: float, order: np.ndarray | None = None) -> np.ndarray:
     """Rows of ``x`` that may be among the ``keep`` nearest to ``q`` (both rotated unit vectors).
 
-    Rows are taken in tiles. The bound is the ``keep``-th least full distance so far; after ``d`` of ``D``
+    Rows are taken in tiles, in the given order (best lists first) or as they are. The bound is the ``keep``-th least full distance so far; after ``d`` of ``D``
     columns a row goes if ``partial * D / d > bound * (1 + doubt / sqrt(d)) ** 2``.
     """
     dim, found, at, bound = x.shape[1], [], [], np.inf
-    for begin in range(0, len(x), 1024):
-        rows = np.arange(begin, min(begin + 1024, len(x)))
+    order = np.arange(len(x)) if order is None else order
+    for begin in range(0, len(order), 1024):
+        rows = order[begin : begin + 1024]
         partial = np.zeros(len(rows))
         for d in range(0, dim, COLUMNS):
             part = x[rows, d : d + COLUMNS] - q[d : d + COLUMNS]
@@ -74,7 +75,7 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(vector, lambda v: v != 0)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, list_size: int = 64, max_lists: int = 4096, probe_share: float = 0.4, min_probes: int = 16, doubt: float = 3.0, sample: int = 50_000, block: int = 8192, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 5, list_size: int = 64, max_lists: int = 4096, probe_share: float = 0.4, min_probes: int = 24, doubt: float = 3.0, sample: int = 50_000, block: int = 8192, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest rows found for each row where ``is_query`` holds.
 
     Fitted on a sample of at most ``sample`` vectors (those with the least hash of their id), every row
@@ -83,8 +84,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, list_size: int = 64
     the smaller id. A row is no candidate of itself; other rows that share its id are.
 
     Vectors that are null, zero, of another length than most, or hold null or non-finite components take no
-    part; nor do null ids. Fewer than ``k`` other rows: all of them. Empty table: empty result. Lists of more
-    than ``block`` rows are dealt to several tasks, and each returns ``k`` rows for a query at most.
+    part; nor do null ids. Fewer than ``k`` other rows: all of them. Empty table: empty result. Lists are
+    grouped to tasks of about ``block`` rows, longer ones dealt to several; a task returns ``k`` rows for a
+    query at most.
     """
     spark = vectors.sparkSession
     work = Workspace(spark, "adaptivescan")
@@ -114,7 +116,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, list_size: int = 64
     count = np.zeros(lists, np.int64)
     for r in index.groupBy("list").agg(F.count("*").alias("n")).collect():  # at most ``max_lists`` rows
         count[r["list"]] = r["n"]
+    # A task holds lists of about ``block`` rows together, or a part of a longer list.
     blocks = np.maximum(1, -(-count // block))
+    group = np.cumsum(np.where(blocks > 1, 0, count)) // block * 2
+    group[blocks > 1] = np.flatnonzero(blocks > 1) * 2 + 1
     probes = min(lists, max(min_probes, int(np.ceil(probe_share * lists))))
 
     def route(batches):
@@ -122,20 +127,24 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, list_size: int = 64
             v = np.array(b.column(1).flatten().to_numpy(zero_copy_only=False)).reshape(-1, dim)
             order = np.argsort(-(v / np.linalg.norm(v, axis=1, keepdims=True) @ centre.T), axis=1, kind="stable")
             need = np.maximum(probes, (np.cumsum(count[order], axis=1) < k + 1).sum(1) + 1)
-            at, to, part = [], [], []
+            at, to, part, which = [], [], [], []
             for i, n in enumerate(need.tolist()):
-                for c in order[i, :n].tolist():
-                    for p in range(blocks[c]):
+                own: dict[int, list[int]] = {}
+                for c in order[i, :n].tolist():  # nearest list first
+                    own.setdefault(int(group[c]), []).append(c)
+                for g, cs in own.items():
+                    for p in range(blocks[cs[0]]):
                         at.append(i)
-                        to.append(c)
+                        to.append(g)
                         part.append(p)
+                        which.append(cs)
             picked = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(picked), b.column(1).take(picked), b.column(2).take(picked), pa.array(to, pa.int32()), pa.array(part, pa.int32()), b.column(3).take(picked)], names=["id", "v", "u", "list", "part", "row"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(picked), b.column(1).take(picked), b.column(2).take(picked), pa.array(to, pa.int32()), pa.array(part, pa.int32()), b.column(3).take(picked), pa.array(which, pa.list_(pa.int32()))], names=["id", "v", "u", "group", "part", "row", "lists"])
 
-    asked = index.filter("q").select("id", "v", "u", "row").mapInArrow(route, "id long, v array<double>, u array<double>, list int, part int, row long")
-    table = F.array(*[F.lit(int(b)) for b in blocks]) if blocks.max() > 1 else None
-    part = F.pmod(F.xxhash64("row"), F.get(table, F.col("list"))).cast("int") if table is not None else F.lit(0)
-    held = index.select("id", "v", "u", "list", "row", part.alias("part"))
+    asked = index.filter("q").select("id", "v", "u", "row").mapInArrow(route, "id long, v array<double>, u array<double>, group int, part int, row long, lists array<int>")
+    groups, parts = F.array(*[F.lit(int(g)) for g in group]), F.array(*[F.lit(int(b)) for b in blocks])
+    part = F.pmod(F.xxhash64("row"), F.get(parts, F.col("list"))).cast("int")
+    held = index.select("id", "v", "u", "list", "row", F.get(groups, F.col("list")).alias("group"), part.alias("part"))
 
     def nearest(own: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(queries):
@@ -143,9 +152,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, list_size: int = 64
         ids, place_of = own["id"].to_numpy(), own["row"].to_numpy()
         u, v = np.array(own["u"].tolist()), np.array(own["v"].tolist())
         norm = np.sqrt((v * v).sum(1))
+        rows_of = {c: np.flatnonzero(own["list"].to_numpy() == c) for c in own["list"].unique().tolist()}
         parts = []
         for q in queries.itertuples(index=False):
-            rows = scan(u, np.array(q.u), k + 1, doubt)
+            order = [rows_of[c] for c in q.lists if c in rows_of]
+            rows = scan(u, np.array(q.u), k + 1, doubt, np.concatenate(order)) if order else np.zeros(0, np.int64)
             rows = rows[place_of[rows] != q.row]
             w = np.array(q.v)
             score = (v[rows] @ w) / (norm[rows] * np.sqrt((w * w).sum()))
@@ -154,7 +165,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, list_size: int = 64
         cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
         return pd.DataFrame(dict(zip(("query_id", "row", "vec_id", "score"), cols, strict=True)))
 
-    found = held.groupBy("list", "part").cogroup(asked.groupBy("list", "part")).applyInPandas(nearest, "query_id long, row long, vec_id long, score double")
+    found = held.groupBy("group", "part").cogroup(asked.groupBy("group", "part")).applyInPandas(nearest, "query_id long, row long, vec_id long, score double")
     first = Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
