@@ -40,7 +40,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents by the target weights of their domain, language and source; a document may come twice."""
     work = Workspace(spark, "mix")
-    chosen = mixing.plan(tokens_by_source(docs, work), LEVELS, mixing.weights(WEIGHTS, LEVELS), 1.0, 2, 11, "doc_id", "n_tokens", work)
+    chosen = mixing.plan(tokens_by_source(docs, work, frugal=True), LEVELS, mixing.weights(WEIGHTS, LEVELS), 1.0, 2, 11, "doc_id", "n_tokens", work)
     return mixing.epochs_of(docs.withColumn("domain", domain()), chosen, LEVELS, 11, "doc_id").select(*docs.columns)
 
 
@@ -48,7 +48,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 4096 ids with the sequence and the offset of each."""
     import public_tokenizers
 
-    pieces = packing.token_pieces(docs, public_tokenizers.path(VOCABULARY), capacity=CAPACITY, end_id=END_ID)
+    pieces = packing.token_pieces(docs, public_tokenizers.path(VOCABULARY), capacity=CAPACITY, end_id=END_ID, frugal=True)
     digest = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return packing.pack(digest, capacity=CAPACITY)
 

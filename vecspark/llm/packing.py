@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecspark.llm.shared import Workspace
-from vecspark.llm.textunits import balanced, encoder
+from vecspark.llm.textunits import balanced, encoder, released
 
 
 def fullest(counts: dict[int, int], order: list[int], gap: int) -> dict[int, int]:
@@ -127,7 +127,7 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length", work: Wor
     return placed.select(*pieces.columns, F.col("_place.sequence_id").alias("sequence_id"), F.col("_place.offset").alias("offset"))
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", frugal: bool = False) -> DataFrame:
     """Every document's ids (with ``end_id`` behind them), cut into pieces of at most ``capacity``.
 
     ``(id, piece int, start long, length long, ids binary)``; ``ids`` are little-endian unsigned 32-bit.
@@ -137,8 +137,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def cut(batches):
-        enc = encoder(tokenizer_path)
-        for b in batches:
+        enc = encoder(tokenizer_path, frugal)
+        for b in released(batches) if frugal else batches:
             for first, last in balanced(b.column(1), 4 << 20):
                 ids, n = enc.encode(b.column(1).slice(first, last - first))
                 ends = np.cumsum(n)

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vecspark.llm.textunits import released
+
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -189,7 +191,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     schema = T.StructType([*docs.select(*others).schema.fields, T.StructField(score_col, T.DoubleType())])
 
     def add(batches):
-        for b in batches:
+        for b in released(batches):
             x = np.column_stack([b.column(len(others) + k).to_numpy(zero_copy_only=False) for k in range(len(names))])
             yield pa.RecordBatch.from_arrays([*b.columns[: len(others)], pa.array(model.score(x))], names=schema.names)
 

@@ -83,9 +83,9 @@ def domain() -> Column:
     return F.concat(F.lit("domain"), (F.crc32(F.encode(F.coalesce("source", F.lit("")), "utf-8")) % 4).cast("string"))
 
 
-def tokens_by_source(docs: DataFrame, work: Workspace) -> DataFrame:
+def tokens_by_source(docs: DataFrame, work: Workspace, frugal: bool = False) -> DataFrame:
     """Id, leaf and token count of every document, written: texts are encoded once."""
-    counted = tokencount.token_counts(docs.withColumn("domain", domain()), _vocabulary("byte_bpe_50k.json"), also=tuple(LEVELS))
+    counted = tokencount.token_counts(docs.withColumn("domain", domain()), _vocabulary("byte_bpe_50k.json"), also=tuple(LEVELS), frugal=frugal)
     return work.stage(counted.select("doc_id", *LEVELS, "n_tokens"), "tokens")
 
 

@@ -126,7 +126,8 @@ class UnitEncoder:
             at, count = self._look_up(texts.take(pa.array(plain)) if len(odd) else texts)
             size = self.size[at]
             total, ends = np.concatenate([[0], np.cumsum(size)]), np.cumsum(count)
-            ids = self.flat[np.repeat(self.begin[at] - total[:-1], size) + np.arange(total[-1])]
+            kind = np.int32 if max(len(self.flat), total[-1]) < 1 << 31 else np.int64
+            ids = self.flat[np.repeat((self.begin[at] - total[:-1]).astype(kind), size) + np.arange(total[-1], dtype=kind)]
             n[plain] = total[ends] - total[ends - count]
         if len(odd):
             whole = self._whole(texts.take(pa.array(odd)).to_pylist())
@@ -140,17 +141,35 @@ class UnitEncoder:
         return ids, n
 
 
-_ENCODERS: dict[str, UnitEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], UnitEncoder] = {}
 
 
-def encoder(path: str) -> UnitEncoder:
-    """The worker's encoder of ``path``, kept between tasks."""
-    if path not in _ENCODERS:
+def encoder(path: str, frugal: bool = False) -> UnitEncoder:
+    """The worker's encoder of ``path``, kept between tasks; a worker keeps one at a time.
+
+    ``frugal``: half the memory for more time, for jobs whose other stages need it.
+    """
+    if (path, frugal) not in _ENCODERS:
         import os
 
+        _ENCODERS.clear()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task has one core
-        _ENCODERS[path] = UnitEncoder(path)
-    return _ENCODERS[path]
+        _ENCODERS[path, frugal] = UnitEncoder(path, 300_000 if frugal else 600_000)
+    return _ENCODERS[path, frugal]
+
+
+def released(batches):
+    """Hands batches on and gives freed memory back at the end: the worker waits idle beside other stages."""
+    import ctypes
+    import gc
+
+    yield from batches
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def balanced(texts: pa.Array, max_bytes: int):

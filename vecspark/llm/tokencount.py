@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecspark.llm.textunits import balanced, encoder
+from vecspark.llm.textunits import balanced, encoder, released
 
 _VISIBLE_THEN_SPACE = re.compile(r"(?<=[^\s\x1c-\x1f]) ")
 
@@ -35,9 +35,9 @@ def safe_pieces(text: str, size: int, special: tuple[str, ...] = ()) -> list[str
     return out
 
 
-def token_lengths(texts: pa.Array, path: str, batch_bytes: int, piece_chars: int) -> np.ndarray:
+def token_lengths(texts: pa.Array, path: str, batch_bytes: int, piece_chars: int, frugal: bool = False) -> np.ndarray:
     """Token count of each text, in batches balanced by bytes; texts over ``piece_chars`` go in pieces."""
-    enc = encoder(path)
+    enc = encoder(path, frugal)
     out = np.zeros(len(texts), np.int64)
     owner = np.arange(len(texts))
     longer = np.flatnonzero(pc.utf8_length(texts).to_numpy(zero_copy_only=False) > piece_chars)
@@ -52,7 +52,7 @@ def token_lengths(texts: pa.Array, path: str, batch_bytes: int, piece_chars: int
     return out
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 4 << 20, piece_chars: int = 1 << 18, also: tuple[str, ...] = ()) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 4 << 20, piece_chars: int = 1 << 18, also: tuple[str, ...] = (), frugal: bool = False) -> DataFrame:
     """``(id, n_bytes, n_tokens, over_limit)`` of every row of ``docs``, and the columns ``also``.
 
     Only the id and the text leave the scan, and only lengths come back. No shuffle: one pass over the
@@ -63,8 +63,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
     schema = T.StructType([T.StructField("id", kind), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), *[T.StructField(f"_a{k}", docs.schema[c].dataType) for k, c in enumerate(also)]])
 
     def count(batches):
-        for b in batches:
-            n = token_lengths(b.column(2), tokenizer_path, batch_bytes, piece_chars)
+        for b in released(batches) if frugal else batches:
+            n = token_lengths(b.column(2), tokenizer_path, batch_bytes, piece_chars, frugal)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), *b.columns[3:]], names=schema.names)
 
     text = F.coalesce(F.col(text_col), F.lit(""))
