@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecspark.llm.shared import Workspace, small
+from vecspark.llm.textunits import released
 
 BITS = 64
 SEED = 42
@@ -50,7 +51,7 @@ def fingerprints(docs: DataFrame, shingle: int, text_col: str = "text") -> DataF
     schema = docs.select(*others).withColumn("_fp", F.lit(0).cast("long")).schema
 
     def make(batches):
-        for b in batches:
+        for b in released(batches):
             fp = np.fromiter((fingerprint(t, shingle) for t in b.column(b.num_columns - 1).to_pylist()), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp.view(np.int64))], names=schema.names)
 
@@ -248,7 +249,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, max_bits: int = 4, id_col
 
 def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is their component's; of rows that share that id, the least text."""
-    keep = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct()
-    kept = docs.join(keep, docs[id_col].eqNullSafe(keep["_keep"]), "left_semi")
+    keep = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("_keep")).agg(F.count("*").alias("_rows"))
+    keep = Workspace(docs.sparkSession, "keep").stage(keep, "keep")
+    kept = lambda which: docs.join(small(which, 32), docs[id_col].eqNullSafe(F.col("_keep")), "left_semi")
+    single, shared = kept(keep.filter("_rows = 1")), keep.filter("_rows > 1")
+    if shared.isEmpty():
+        return single
+    # Only rows that share an id are sorted by text.
     first = Window.partitionBy(id_col).orderBy(F.col(text_col))
-    return kept.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    return single.unionByName(kept(shared).withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n"))
