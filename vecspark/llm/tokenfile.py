@@ -49,9 +49,10 @@ def encode_block(ids: np.ndarray) -> bytes:
     extra = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     codes = np.zeros(-(-n // 4) * 4, np.uint8)
     codes[:n] = extra
-    control = (codes.reshape(-1, 4) << _SHIFTS).sum(1, dtype=np.uint8)
-    raw = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
-    data = raw[np.arange(4, dtype=np.uint8) <= extra[:, None]]
+    control = codes[0::4] | codes[1::4] << 2 | codes[2::4] << 4 | codes[3::4] << 6
+    wide = int(extra.max()) + 1
+    raw = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :wide]
+    data = raw[np.arange(wide, dtype=np.uint8) <= extra[:, None]]
     return b"".join([MAGIC, np.array([n, len(by_rank)], "<u4").tobytes(), by_rank.astype("<u4").tobytes(), control.tobytes(), data.tobytes()])
 
 
