@@ -139,7 +139,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end
     def cut(batches):
         enc = encoder(tokenizer_path, frugal)
         for b in released(batches) if frugal else batches:
-            for first, last in balanced(b.column(1), 4 << 20):
+            for first, last in balanced(b.column(1), (1 if frugal else 4) << 20):
                 ids, n = enc.encode(b.column(1).slice(first, last - first))
                 ends = np.cumsum(n)
                 rows, piece, start, length, data = [], [], [], [], []

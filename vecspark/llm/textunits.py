@@ -147,23 +147,22 @@ _ENCODERS: dict[tuple[str, bool], UnitEncoder] = {}
 def encoder(path: str, frugal: bool = False) -> UnitEncoder:
     """The worker's encoder of ``path``, kept between tasks; a worker keeps one at a time.
 
-    ``frugal``: half the memory for more time, for jobs whose other stages need it.
+    ``frugal``: a fraction of the memory for more time, for jobs whose other stages need it.
     """
     if (path, frugal) not in _ENCODERS:
         import os
 
         _ENCODERS.clear()
+        _give_back()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task has one core
-        _ENCODERS[path, frugal] = UnitEncoder(path, 300_000 if frugal else 600_000)
+        _ENCODERS[path, frugal] = UnitEncoder(path, 120_000 if frugal else 600_000)
     return _ENCODERS[path, frugal]
 
 
-def released(batches):
-    """Hands batches on and gives freed memory back at the end: the worker waits idle beside other stages."""
+def _give_back() -> None:
     import ctypes
     import gc
 
-    yield from batches
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -172,6 +171,15 @@ def released(batches):
         pass
 
 
+def released(batches):
+    """Hands batches on and gives freed memory back at the end: the worker waits idle beside other stages."""
+    yield from batches
+    for (_, frugal), enc in _ENCODERS.items():
+        if frugal:
+            enc._clear()
+    _give_back()
+
+
 def balanced(texts: pa.Array, max_bytes: int):
     """Slices ``(begin, end)`` of rows of about ``max_bytes`` each; a longer text has its own slice."""
     size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)

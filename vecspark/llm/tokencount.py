@@ -64,7 +64,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
 
     def count(batches):
         for b in released(batches) if frugal else batches:
-            n = token_lengths(b.column(2), tokenizer_path, batch_bytes, piece_chars, frugal)
+            n = token_lengths(b.column(2), tokenizer_path, min(batch_bytes, 1 << 20) if frugal else batch_bytes, piece_chars, frugal)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), *b.columns[3:]], names=schema.names)
 
     text = F.coalesce(F.col(text_col), F.lit(""))
