@@ -14,7 +14,7 @@ from vecspark.llm.tokencount import safe_pieces, token_lengths  # noqa: E402
 
 FILES = [public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json")]
 ENCODERS = {f: (UnitEncoder(f), Tokenizer.from_file(f)) for f in FILES}
-PIECES = ["the", "The.", "don't", " ", "  ", "\n", "\n\n", "\t", " \n", "a.b", "...", "x,y.", "é", "é", "J̌", "ÄÖß", "İ", "K", " ", " ", "\x1c", "\x1f", "\x01", "12.5", "日本語", "<|endoftext|>", "<|startoftext|>", "<|", "🙂", "Σας", "'s", "!!", "½", "हिन्दी."]
+PIECES = ["the", "The.", "don't", " ", "  ", "\n", "\n\n", "\t", " \n", "a.b", "...", "x,y.", "é", "é", "J̌", "ÄÖß", "İ", "K", " ", " ", "\x1c", "\x1f", "\x01", "12.5", "日本語", "<|endoftext|>", "<|startoftext|>", "<|", "🙂", "Σας", "'s", "!!", "a$$$", "É&&&b", "x:y;", "#%*", "½", "हिन्दी."]
 
 
 def same(texts, file):
@@ -39,7 +39,7 @@ def test_memory_starts_anew(file):
     enc = UnitEncoder(file, max_units=5)
     tok = Tokenizer.from_file(file)
     for k in range(4):
-        texts = [f"word{k} other. more{k},", "", "the end"]
+        texts = [f"word{k} other. more{k},", "", "the end"] * (1 + k % 2)
         assert enc.lengths(pa.array(texts)).tolist() == [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
 
 

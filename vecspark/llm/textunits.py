@@ -27,9 +27,9 @@ class UnitEncoder:
 
     Two kinds of pre-tokenizer are told apart. One removes white space: units end at spaces and line
     ends. The other (byte-level) keeps it: units start at a space, and a line end is a unit. Both cut
-    between a letter and a full stop or comma. Special strings inside texts are matched as the library
-    does by default. At most ``max_units`` units are remembered; beyond that the memory starts anew,
-    which costs time only.
+    between a letter and one of the marks ``.,!?;:#$%&*``. Special strings inside texts are matched as
+    the library does by default. At most ``max_units`` units are remembered (or those of one call, if more); beyond
+    that the memory starts anew with the units at hand, which costs time only.
     """
 
     def __init__(self, path: str, max_units: int = 600_000):
@@ -55,6 +55,17 @@ class UnitEncoder:
         self.begin = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
 
+    def _forget_others(self, units: list[str], at: np.ndarray) -> None:
+        """Starts the memory anew with those of ``units`` that it knows, and puts their new places into ``at``."""
+        known = np.flatnonzero(at >= 0)
+        old = at[known]
+        size = self.size[old]
+        ends = np.cumsum(size)
+        self.flat = self.flat[np.repeat(self.begin[old] - (ends - size), size) + np.arange(size.sum())]
+        self.begin, self.size = ends - size, size
+        self.index = {units[k]: i for i, k in enumerate(known.tolist())}
+        at[known] = np.arange(len(known))
+
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -62,12 +73,13 @@ class UnitEncoder:
         """The remembered place of each of these different units."""
         get = self.index.get
         at = np.fromiter((get(u, -1) for u in units), np.int64, len(units))
-        if (at < 0).any():
-            if len(self.index) + int((at < 0).sum()) > self.max_units:
-                self._clear()
-                at[:] = -1
-            new = list(compress(units, (at < 0).tolist()))
-            plain = [u for u in new if u and u != self.mark]
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            if len(self.index) + len(missing) > self.max_units:
+                self._forget_others(units, at)
+            new = [units[k] for k in missing.tolist()]
+            usual = np.fromiter((u != "" and u != self.mark for u in new), bool, len(new))
+            plain, extra = list(compress(new, usual.tolist())), list(compress(new, (~usual).tolist()))
             ids = self._whole([self.mark.join(plain[k : k + _TOGETHER]) + self.mark for k in range(0, len(plain), _TOGETHER)])
             ids = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
             stop = np.flatnonzero(ids == self.mark_id)
@@ -75,24 +87,22 @@ class UnitEncoder:
                 raise ValueError("units could not be told apart")
             begin = len(self.flat) + np.concatenate([[0], stop + 1])[:-1] if len(plain) else np.zeros(0, np.int64)
             size = len(self.flat) + stop - begin
-            extra = [u for u in new if not u or u == self.mark]
             tail = self._whole(extra)
             held = len(self.flat) + len(ids)
             for t in tail:
                 begin, size, held = np.append(begin, held), np.append(size, len(t)), held + len(t)
             base = len(self.index)
             self.index.update(zip(plain + extra, range(base, base + len(new)), strict=True))
+            at[np.concatenate([missing[usual], missing[~usual]])] = np.arange(base, base + len(new))
             self.flat = np.concatenate([self.flat, ids, *tail])
             self.begin, self.size = np.concatenate([self.begin, begin.astype(np.int64)]), np.concatenate([self.size, size.astype(np.int64)])
-            get = self.index.get
-            at = np.fromiter((get(u, -1) for u in units), np.int64, len(units))
         return at
 
     def _look_up(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The remembered place of every unit of all texts, and the number of units of each text."""
         if self.lower:
             texts = pc.ascii_lower(texts)
-        texts = pc.replace_substring_regex(texts, r"(\pL)([.,])", "\\1" + _SEPARATOR + "\\2")
+        texts = pc.replace_substring_regex(texts, r"(\pL)([.,!?;:#$%&*])", "\\1" + _SEPARATOR + "\\2")
         if self.drops_space:
             texts = pc.replace_substring(pc.replace_substring(texts, "\n", _SEPARATOR), " ", _SEPARATOR)
         else:

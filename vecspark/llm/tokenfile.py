@@ -99,7 +99,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 
         for b in batches:
             keys = b.column(0).to_pylist()
-            for first, last in balanced(b.column(1), 4 << 20):
+            for first, last in balanced(b.column(1), 8 << 20):
                 ids, n = enc.encode(b.column(1).slice(first, last - first))
                 ends = np.cumsum(n)
                 ids = np.insert(ids, ends, np.uint32(end_id))
