@@ -61,11 +61,25 @@ def order_key(seed: int, epoch: Column, id_: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), epoch.cast("string"), F.coalesce(id_.cast("string"), F.lit("null"))))
 
 
+def _edge_part(keyed: DataFrame, levels: list[str], digits: int, work: Workspace) -> DataFrame:
+    """Rows of the part of each leaf (by the key's first digits) that reaches ``rest``; ``_before`` counts the tokens before it."""
+    part = F.substring("_key", 1, digits)
+    before = Window.partitionBy(*levels).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = keyed.groupBy(*levels, part.alias("_part")).agg(F.sum("_tokens").alias("n"), F.max("rest").alias("rest"), F.max("_before").alias("base"))
+    parts = parts.withColumn("before", F.col("base") + F.coalesce(F.sum("n").over(before), F.lit(0)))
+    edge = parts.filter("before < rest AND before + n >= rest").groupBy(*levels).agg(F.min(F.struct("_part", "before")).alias("e"))
+    names = {c: f"_e{k}" for k, c in enumerate(levels)}
+    edge = work.stage(edge.select(*[F.col(c).alias(e) for c, e in names.items()], F.col("e._part").alias("_ep"), F.col("e.before").alias("_eb")), f"edge{digits}")
+    held = keyed.join(small(edge, 128), [F.col(c).eqNullSafe(F.col(e)) for c, e in names.items()] + [part == F.col("_ep")])
+    return held.withColumn("_before", F.col("_eb")).drop(*names.values(), "_ep", "_eb")
+
+
 def plan(docs: DataFrame, levels: list[str], weight: Callable[[tuple], float], budget_share: float, max_epochs: int, seed: int, id_col: str, tokens_col: str, work: Workspace) -> DataFrame:
     """One row for each leaf: ``levels``, ``whole`` (epochs taken whole), ``cut`` (last key of the next epoch, or null).
 
-    Tokens are summed by leaf and by the first four digits of the key, so no task gathers a leaf; only the
-    documents of one such part of a leaf, in which its budget ends, are ordered one by one.
+    Tokens are summed by leaf and by the first two digits of the key, then in the part in which the leaf's
+    budget ends by the first four, so no task gathers a leaf and none runs over more than 256 parts of it;
+    only the documents of the one part of four digits are ordered one by one.
     """
     spark = docs.sparkSession
     own = docs.select(*levels, F.col(id_col).alias("_id"), F.greatest(F.coalesce(F.col(tokens_col), F.lit(0)), F.lit(0)).cast("long").alias("_tokens"))
@@ -85,15 +99,12 @@ def plan(docs: DataFrame, levels: list[str], weight: Callable[[tuple], float], b
     same = lambda a, b: [a[c].eqNullSafe(b[c]) for c in levels]
     split = work.stage(split, "split")
     partial = own.join(small(split.filter("rest > 0").withColumnsRenamed({c: f"_s{k}" for k, c in enumerate(levels)}), 128), [F.col(c).eqNullSafe(F.col(f"_s{k}")) for k, c in enumerate(levels)])
-    keyed = partial.select(*levels, "_id", "_tokens", "rest", order_key(seed, F.col("whole"), F.col("_id")).alias("_key")).withColumn("_part", F.substring("_key", 1, 4))
-    keyed = work.stage(keyed, "keyed")
-    before = Window.partitionBy(*levels).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = keyed.groupBy(*levels, "_part").agg(F.sum("_tokens").alias("n"), F.max("rest").alias("rest")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    edge = parts.filter("before < rest AND before + n >= rest").groupBy(*levels).agg(F.min(F.struct("_part", "before")).alias("e"))
-    edge = edge.select(*[F.col(c).alias(f"_e{k}") for k, c in enumerate(levels)], F.col("e._part").alias("_ep"), F.col("e.before").alias("_eb"))
-    last = keyed.join(small(work.stage(edge, "edge"), 128), [F.col(c).eqNullSafe(F.col(f"_e{k}")) for k, c in enumerate(levels)] + [F.col("_part") == F.col("_ep")])
+    keyed = partial.select(*levels, "_id", "_tokens", "rest", order_key(seed, F.col("whole"), F.col("_id")).alias("_key"))
+    last = work.stage(keyed, "keyed").withColumn("_before", F.lit(0).cast("long"))
+    for digits in (2, 4):
+        last = _edge_part(last, levels, digits, work)
     run = Window.partitionBy(*levels).orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
-    last = last.withColumn("_at", F.col("_eb") + F.coalesce(F.sum("_tokens").over(run), F.lit(0))).filter("_at < rest")
+    last = last.withColumn("_at", F.col("_before") + F.coalesce(F.sum("_tokens").over(run), F.lit(0))).filter("_at < rest")
     cut = last.groupBy(*levels).agg(F.max("_key").alias("cut"))
     return work.stage(split.join(cut, same(split, cut), "left").select(*[split[c] for c in levels], "whole", "cut"), "plan")
 
