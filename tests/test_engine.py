@@ -241,3 +241,18 @@ def test_evaluation(spark, vectors):
     assert not evaluate.norm_profile(vectors).first()["all_unit"]
     unit = vectors.select("vec_id", metrics.normalize(F.col("embedding")).alias("embedding"))
     assert evaluate.norm_profile(unit).first()["all_unit"]
+
+
+@pytest.mark.parametrize("metric", metrics.METRICS)
+def test_ties_of_many_copies_go_to_the_smaller_ids(spark, metric):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((1200, DIM))
+    copies = np.sort(rng.choice(1200, 300, replace=False))
+    x[copies] = x[copies[0]] * 3
+    rows = [(int(i), x[i].tolist()) for i in rng.permutation(1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    one = spark.createDataFrame([(0, x[copies[0]].tolist())], "qid long, embedding array<double>")
+    assert by_query(knn.exact(df, one, 10, metric)) == {0: copies[:10].tolist()}
+    seeds = df.select(F.col("vec_id").cast("int").alias("cid"), F.col("embedding").alias("centroid"))
+    near = knn.nearest_centroids(one.withColumnRenamed("qid", "vec_id"), seeds, 10, metric).collect()
+    assert [r["cid"] for r in sorted(near, key=lambda r: r["rank"])] == copies[:10].tolist()

@@ -44,6 +44,39 @@ def ranked(df: DataFrame, by: str | list[str], order: list, k: int, name: str =
     return df.withColumn(name, F.row_number().over(w).cast("int")).filter(F.col(name) <= k)
 
 
+def _margin(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For each row of ``q``, more than a matrix product's distance to a row of ``x`` can be off by rounding."""
+    far = np.sqrt((x * x).sum(1))
+    far = far[np.isfinite(far)].max(initial=0.0)
+    off = 8 * np.finfo(np.float64).eps * (q.shape[1] + 4) * (np.sqrt((q * q).sum(1)) + far) ** 2
+    return np.where(np.isfinite(off), off, np.inf)
+
+
+def _first(d: np.ndarray, q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, pairs, finite: bool, within: float | None = None) -> tuple[np.ndarray, ...]:
+    """``(row of q, row of x, distance, rank)`` of the ``k`` first by (distance, id) for each row of ``q``.
+
+    ``d``: distances by a matrix product, which only choose candidates: all rows up to the k-th and the
+    rounding beyond it, however many tie there. With ``within``, all rows up to that multiple of the
+    nearest distance (and the rounding) instead. ``finite`` leaves out rows of no finite distance.
+    """
+    d[~np.isfinite(d)] = np.inf
+    off = _margin(q, x)
+    if within is None:
+        k = min(k, len(x))
+        most = np.partition(d, k - 1, axis=1)[:, k - 1] + 2 * off
+    else:
+        k, most = len(x), within * d.min(1) + (1 + abs(within)) * off
+    keep = d <= most[:, None]
+    if finite:
+        keep &= np.isfinite(d)
+    at, near = np.nonzero(keep)
+    dist = np.concatenate([np.zeros(0), *(pairs(q[at[s : s + 65536]], x[near[s : s + 65536]]) for s in range(0, len(at), 65536))])
+    order = np.lexsort((ids[near], dist, at))
+    at, near, dist = at[order], near[order], dist[order]
+    rank = np.arange(1, len(at) + 1) - np.searchsorted(at, at)
+    return tuple(v[rank <= k] for v in (at, near, dist, rank))
+
+
 def exact(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "L2", exclude_self: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``(qid, vec_id, rank, dist)``: the ``k`` nearest of all ``vectors(vec_id, embedding)`` for each of ``queries(qid, embedding)``.
 
@@ -75,13 +108,8 @@ def _against(vectors: DataFrame, qids: np.ndarray, q: np.ndarray, k: int, metric
                 d = many(q, own)
                 if exclude_self:
                     d[qids[:, None] == part[None, :]] = np.inf
-                n = min(k + 8, len(part))
-                near = np.argpartition(d, n - 1, axis=1)[:, :n]
-                at = np.repeat(np.arange(len(q)), n)
-                vec = near.ravel()
-                keep = np.isfinite(d[at, vec])
-                at, vec = at[keep], vec[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(qids[at]), pa.array(part[vec]), pa.array(pairs(q[at], own[vec]))], names=["qid", "vec_id", "dist"])
+                at, near, dist, _ = _first(d, q, own, part, k, pairs, finite=True)
+                yield pa.RecordBatch.from_arrays([pa.array(qids[at]), pa.array(part[near]), pa.array(dist)], names=["qid", "vec_id", "dist"])
 
     return vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "qid long, vec_id long, dist double")
 
@@ -106,15 +134,9 @@ def nearest_centroids(vectors: DataFrame, centroids: DataFrame, r: int, metric:
                 x = batch_matrix(b.column(1))
                 for s in range(0, len(x), 8192):
                     own = x[s : s + 8192]
-                    n = min(r + 4, len(c))
-                    near = np.argpartition(many(own, c), n - 1, axis=1)[:, :n]
-                    at = np.repeat(np.arange(len(own)), n)
-                    d = pairs(own[at], c[near.ravel()]).reshape(len(own), n)
-                    order = np.lexsort((cids[near], d), axis=1)[:, : min(r, n)]
-                    rows = np.repeat(np.arange(len(own)), order.shape[1])
-                    picked = np.take_along_axis(near, order, 1).ravel()
-                    ids = b.column(0).take(pa.array(rows + s))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(cids[picked].astype(np.int32)), pa.array(np.take_along_axis(d, order, 1).ravel()), pa.array(np.tile(np.arange(1, order.shape[1] + 1, dtype=np.int32), len(own)))], names=[id_col, "cid", "dist", "rank"])
+                    at, near, d, rank = _first(many(own, c), own, c, cids, r, pairs, finite=False)
+                    ids = b.column(0).take(pa.array(at + s))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(cids[near].astype(np.int32)), pa.array(d), pa.array(rank.astype(np.int32))], names=[id_col, "cid", "dist", "rank"])
 
         parts.append(vectors.select(id_col, vector_col).mapInArrow(run, f"{id_col} {kind}, cid int, dist double, rank int"))
     if not parts:
