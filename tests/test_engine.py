@@ -256,3 +256,13 @@ def test_ties_of_many_copies_go_to_the_smaller_ids(spark, metric):
     seeds = df.select(F.col("vec_id").cast("int").alias("cid"), F.col("embedding").alias("centroid"))
     near = knn.nearest_centroids(one.withColumnRenamed("qid", "vec_id"), seeds, 10, metric).collect()
     assert [r["cid"] for r in sorted(near, key=lambda r: r["rank"])] == copies[:10].tolist()
+
+
+def test_closure_takes_every_centroid_within_the_factor(vectors, x):
+    c = clustering.seeds(vectors, 150)
+    m = np.array([r["centroid"] for r in c.orderBy("cid").collect()], np.float64)
+    d = metrics.numpy_pairs("L2")(x[:, None].astype(np.float64), m[None])
+    for factor in (1.5, 50.0):
+        got = sorted((r["vec_id"], r["cid"]) for r in assign.closure(vectors, c, factor).collect())
+        assert got == list(zip(*(v.tolist() for v in np.nonzero(d <= factor * d.min(1)[:, None])), strict=True))
+    assert np.bincount([v for v, _ in got]).max() > 64

@@ -18,9 +18,9 @@ def top_r(vectors: DataFrame, centroids: DataFrame, r: int, metric: str = "L2")
     return nearest_centroids(vectors, centroids, r, metric).select("cid", "vec_id", "dist", "rank")
 
 
-def closure(vectors: DataFrame, centroids: DataFrame, factor: float, metric: str = "L2", most: int = 64) -> DataFrame:
-    """Replicas in every one of the ``most`` nearest centroids within ``factor`` times the nearest distance."""
-    near = nearest_centroids(vectors, centroids, most, metric)
+def closure(vectors: DataFrame, centroids: DataFrame, factor: float, metric: str = "L2") -> DataFrame:
+    """Replicas in every centroid within ``factor`` times the nearest distance."""
+    near = nearest_centroids(vectors, centroids, 1, metric, within=factor)
     first = F.min("dist").over(Window.partitionBy("vec_id"))
     return near.withColumn("_d0", first).filter(F.col("dist") <= factor * F.col("_d0")).select("cid", "vec_id", "dist", "rank")
 

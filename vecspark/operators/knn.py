@@ -121,8 +121,11 @@ def exact_columns(vectors: DataFrame, queries: DataFrame, k: int, metric: str =
     return ranked(pairs, "qid", [F.col("dist"), F.col("vec_id")], k).select("qid", "vec_id", "rank", "dist")
 
 
-def nearest_centroids(vectors: DataFrame, centroids: DataFrame, r: int, metric: str = "L2", id_col: str = "vec_id", vector_col: str = "embedding", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``(id, cid, dist, rank)``: the ``r`` nearest of ``centroids(cid, centroid)`` for every row. No shuffle for one block."""
+def nearest_centroids(vectors: DataFrame, centroids: DataFrame, r: int, metric: str = "L2", id_col: str = "vec_id", vector_col: str = "embedding", block_bytes: int = BLOCK_BYTES, within: float | None = None) -> DataFrame:
+    """``(id, cid, dist, rank)``: the ``r`` nearest of ``centroids(cid, centroid)`` for every row. No shuffle for one block.
+
+    With ``within``, ``r`` is not looked at: at least all centroids within that multiple of the nearest distance.
+    """
     check_metric(metric)
     many, pairs = numpy_distance(metric), numpy_pairs(metric)
     kind = vectors.schema[id_col].dataType.simpleString()
@@ -134,7 +137,7 @@ def nearest_centroids(vectors: DataFrame, centroids: DataFrame, r: int, metric:
                 x = batch_matrix(b.column(1))
                 for s in range(0, len(x), 8192):
                     own = x[s : s + 8192]
-                    at, near, d, rank = _first(many(own, c), own, c, cids, r, pairs, finite=False)
+                    at, near, d, rank = _first(many(own, c), own, c, cids, r, pairs, finite=False, within=within)
                     ids = b.column(0).take(pa.array(at + s))
                     yield pa.RecordBatch.from_arrays([ids, pa.array(cids[near].astype(np.int32)), pa.array(d), pa.array(rank.astype(np.int32))], names=[id_col, "cid", "dist", "rank"])
 
@@ -146,7 +149,7 @@ def nearest_centroids(vectors: DataFrame, centroids: DataFrame, r: int, metric:
     found = parts[0].drop("rank")
     for p in parts[1:]:
         found = found.union(p.drop("rank"))
-    return ranked(found, id_col, [F.col("dist"), F.col("cid")], r)
+    return ranked(found, id_col, [F.col("dist"), F.col("cid")], r if within is None else 2**31 - 1)
 
 
 def as_queries(vectors: DataFrame, where: Column) -> DataFrame:
