@@ -33,7 +33,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group, with the smallest id: shingles and bits of op8's contract."""
-    groups = Workspace(spark, "groups").stage(simhash.near_duplicates(docs, shingle=4, max_bits=4), "groups")
+    groups = Workspace(spark, "groups").stage(simhash.near_duplicates(docs, shingle=4, max_bits=4, roots=True), "groups")
     return simhash.one_of_each(docs, groups).select(*docs.columns)
 
 

@@ -103,3 +103,18 @@ def test_empty_table_and_one_of_each(spark):
     groups = simhash.near_duplicates(docs)
     kept = simhash.one_of_each(docs, groups).collect()
     assert sorted(map(tuple, kept), key=str) == sorted([(1, "a b c d e f"), (3, "q"), (None, None)], key=str)
+
+
+def test_one_of_each_keeps_every_component_of_null_and_shared_ids(spark):
+    texts = ["a b c d e f", "g h i j k l m", "n o p q r s t u", "v w x y z"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (6, texts[3].upper()), (5, texts[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = simhash.one_of_each(docs, simhash.near_duplicates(docs, roots=True)).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3])], key=str)
+
+
+def test_the_pipelines_stage_keeps_unrelated_documents_of_one_id(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(None if i % 2 else 7, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(12)], "doc_id long, text string")
+    assert sorted(corpus_pipeline.near_dedup(spark, docs, "").collect(), key=str) == sorted(docs.collect(), key=str)

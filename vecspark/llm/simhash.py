@@ -224,8 +224,8 @@ def components(edges: DataFrame, work: Workspace, rounds: int = 100) -> DataFram
     raise RuntimeError(f"components have not settled in {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, fingerprint, component_id)`` of every document.
+def near_duplicates(docs: DataFrame, shingle: int = 5, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text", roots: bool = False) -> DataFrame:
+    """``(id, fingerprint, component_id)`` of every document; with ``roots`` also what ``one_of_each`` asks for.
 
     Words are runs of other than ASCII white space, A-Z lowered; shingles of ``shingle`` words with
     repeats (a shorter text is one shingle; without a word, or null, the fingerprint is zero). Documents
@@ -233,28 +233,45 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, max_bits: int = 4, id_col
     reachable. Null ids are smallest only where a component has no other. Repeated rows are returned as
     they are. Empty table: empty result.
 
-    Equal fingerprints are one node, so a group of copies costs one row from there on.
+    Equal fingerprints are one node, so a group of copies costs one row from there on. ``roots`` adds
+    ``_th``, the hash of the text, and ``_root``, the component: ids may be null or shared, so that an id
+    need not name one component.
     """
     work = Workspace(docs.sparkSession, "simhash")
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    if roots:
+        rows = rows.withColumn("_th", F.xxhash64("_text"))
     held = work.stage(fingerprints(rows, shingle, "_text"), "fingerprints")
     nodes = work.stage(held.groupBy("_fp").agg(F.min("_id").alias("_least")), "nodes")
-    roots = components(links(nodes, max_bits, work), work)
-    rooted = nodes.join(roots, nodes["_fp"] == roots["node"], "left").select("_fp", "_least", F.coalesce("root", "_fp").alias("_root"))
+    found = components(links(nodes, max_bits, work), work)
+    rooted = nodes.join(found, nodes["_fp"] == found["node"], "left").select("_fp", "_least", F.coalesce("root", "_fp").alias("_root"))
     least = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    named = work.stage(rooted.join(least, "_root").select(F.col("_fp").alias("_f"), "component_id"), "components")
+    named = work.stage(rooted.join(least, "_root").select(F.col("_fp").alias("_f"), "component_id", *["_root"] * roots), "components")
     hexed = F.lpad(F.lower(F.hex("_fp")), 16, "0")
-    return held.join(named, F.col("_fp") == F.col("_f")).select(F.col("_id").alias(id_col), hexed.alias("fingerprint"), "component_id")
+    return held.join(named, F.col("_fp") == F.col("_f")).select(F.col("_id").alias(id_col), hexed.alias("fingerprint"), "component_id", *["_th", "_root"] * roots)
 
 
 def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is their component's; of rows that share that id, the least text."""
-    keep = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("_keep")).agg(F.count("*").alias("_rows"))
-    keep = Workspace(docs.sparkSession, "keep").stage(keep, "keep")
-    kept = lambda which: docs.join(small(which, 32), docs[id_col].eqNullSafe(F.col("_keep")), "left_semi")
-    single, shared = kept(keep.filter("_rows = 1")), keep.filter("_rows > 1")
+    """One row of ``docs`` for each component: the one whose id is the component's; of rows that share that id, the least text.
+
+    ``groups`` has ``_th`` and ``_root`` (``near_duplicates`` with ``roots``), which tell apart components
+    whose smallest ids are equal or null. Without them, an id is taken for one component.
+    """
+    named = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id")))
+    if "_root" not in groups.columns:
+        rows = docs.select(F.col(id_col).alias("_d"), F.xxhash64(text_col).alias("_th"))
+        named = named.select(id_col).distinct().join(rows, F.col(id_col).eqNullSafe(F.col("_d"))).select(id_col, "_th", F.col(id_col).alias("_root"))
+    work = Workspace(docs.sparkSession, "keep")
+    keep = named.groupBy("_root", F.col(id_col).alias("_keep"), F.col("_th").alias("_kt")).agg(F.count("*").alias("_rows"))
+    rows = keep.groupBy("_root").agg(F.sum("_rows").alias("_rows"), F.first("_keep").alias("_keep"), F.first("_kt").alias("_kt"))
+    single = work.stage(rows.filter("_rows = 1"), "single")
+    own = docs[id_col].eqNullSafe(F.col("_keep")) & (F.xxhash64(docs[text_col]) == F.col("_kt"))
+    alone = docs.join(small(single, 40), own, "left_semi")
+    more = rows.filter("_rows > 1").select(F.col("_root").alias("_r"))
+    shared = work.stage(keep.join(more, F.col("_root").eqNullSafe(F.col("_r")), "left_semi").drop("_rows"), "shared")
     if shared.isEmpty():
-        return single
-    # Only rows that share an id are sorted by text.
-    first = Window.partitionBy(id_col).orderBy(F.col(text_col))
-    return single.unionByName(kept(shared).withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n"))
+        return alone
+    # Only rows that share an id and a component are sorted by text.
+    first = Window.partitionBy("_root").orderBy(F.col(text_col))
+    several = docs.join(small(shared, 40), own).withColumn("_n", F.row_number().over(first)).filter("_n = 1")
+    return alone.unionByName(several.select(*docs.columns))
