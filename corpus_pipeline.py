@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.llm import linededup, mixing, packing, quality_gam, simhash
+from vecspark.llm import linededup, mixing, neardup, packing, quality_gam, simhash
 from vecspark.llm.queries import LEVELS, WEIGHTS, domain, tokens_by_source
 from vecspark.llm.shared import Workspace
 
@@ -32,8 +32,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, with the smallest id: shingles and bits of op8's contract."""
-    groups = Workspace(spark, "groups").stage(simhash.near_duplicates(docs, shingle=4, max_bits=4, roots=True), "groups")
+    """One document of each group, with the smallest id: similarity of 0.8 or more of five-word shingles, checked exactly."""
+    groups = Workspace(spark, "groups").stage(neardup.near_duplicates(docs, shingle=5, least=0.8), "groups")
     return simhash.one_of_each(docs, groups).select(*docs.columns)
 
 
