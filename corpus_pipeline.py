@@ -23,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the lines that stay; those all of whose lines went are left out."""
-    kept = linededup.dedup_lines(docs)
+    """Documents with the lines that stay, no exact repeats of short ones either; those all of whose lines went are left out."""
+    kept = linededup.dedup_lines(docs, exact_words=1)
     gone = (F.size("removed_lines") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     kept = kept.filter(~F.coalesce(gone, F.lit(False)))
     n_chars = F.when(F.size("removed_lines") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))

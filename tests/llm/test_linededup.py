@@ -95,3 +95,9 @@ def test_within_one(spark):
     df = spark.createDataFrame(pairs, "a array<string>, b array<string>")
     for r in df.withColumn("near", linededup.within_one(F.col("a"), F.col("b"))).collect():
         assert r["near"] == (edits(r["a"], r["b"]) <= 1), r
+
+
+def test_exact_repeats_of_short_lines(spark):
+    rows = [(1, "Les.\n\nAll rights reserved."), (2, "les.\n\nall  rights RESERVED.\nAll rights\na line of five words"), (3, "Les\n \na line of six words\nAll rights")]
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), exact_words=1).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == {1: rows[0][1], 2: "\nAll rights\na line of five words", 3: "Les\n "}

@@ -3,7 +3,8 @@
 DataFrame operations only. Lines are compared by their words (lower case, any white space between). Two
 lines are near if one word replaced, put in or left out makes them equal. A line is removed if an earlier
 line equals it or is near it; earlier means a smaller (id, hash of text, line number). Lines under
-``min_words`` words are left alone: with five words or more, one edit means a similarity of 0.8 or more.
+``min_words`` words are near none: with five words or more, one edit means a similarity of 0.8 or more. They
+are removed as exact repeats if they have ``exact_words`` words (unset: as many as ``min_words``).
 
 Every line has as variants the words before and after each place, with the word at that place left out
 or with nothing left out there. Lines with an equal variant are one edit apart or less: one word replaced,
@@ -62,7 +63,7 @@ def within_one(a: Column, b: Column) -> Column:
     )
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5) -> DataFrame:
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, exact_words: int | None = None) -> DataFrame:
     """``(_id, _th, _removed array<int>)`` of each document that loses lines (numbers from 0).
 
     ``_th`` is the hash of the text: rows that share an id are told apart by it, and rows that share both
@@ -74,14 +75,15 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     work = Workspace(docs.sparkSession, "linededup")
     base = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text"))
     lines = base.select("_id", "_th", F.posexplode(F.split("_text", "\n")).alias("_line", "_s")).withColumn("_w", _words(F.col("_s")))
-    lines = lines.withColumn("_n", F.size("_w")).filter(F.col("_n") >= min_words)
+    lines = lines.withColumn("_n", F.size("_w")).filter(F.col("_n") >= (min_words if exact_words is None else min(exact_words, min_words)))
+    lines = lines.filter((F.col("_n") > 1) | (F.get("_w", F.lit(0)) != ""))
     n, w = F.col("_n"), F.col("_w")
     # Of two lines with n and n or n + 1 words, floor(n / 2) words at either end are equal. For longer lines
     # the half is rounded down to fours, so that most lines have the same half for both lengths.
     half = lambda k: F.when(k < 16, F.floor(k / 2)).otherwise(4 * F.floor(k / 8)).cast("int")
     upper, lower = half(n), half(n - 1)
     halves = [_half(w, n, upper, last) for last in (False, True)] + [F.when(lower != upper, _half(w, n, lower, last)) for last in (False, True)]
-    lines = work.stage(lines.select("_id", "_th", "_line", F.xxhash64("_w").alias("_h"), *[h.alias(f"_k{k}") for k, h in enumerate(halves)]), "lines")
+    lines = work.stage(lines.select("_id", "_th", "_line", F.xxhash64("_w").alias("_h"), *[F.when(n >= min_words, h).alias(f"_k{k}") for k, h in enumerate(halves)]), "lines")
     order = F.struct("_id", "_th", "_line")
     distinct = lines.groupBy("_h").agg(F.min(order).alias("_first"), F.count("*").alias("_seen"), *[F.min(f"_k{k}").alias(f"_k{k}") for k in range(4)])
     distinct = work.stage(distinct, "distinct")
@@ -124,7 +126,7 @@ def _repeats(lines: DataFrame) -> bool:
     return not lines.groupBy("_id", "_th", "_line").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, exact_words: int | None = None) -> DataFrame:
     """``docs`` with the kept lines as text, ``n_lines`` (before, long) and ``removed_lines array<int>``.
 
     All rows and columns stay (input columns named as the two new ones are replaced). Null text stays null,
@@ -132,7 +134,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and text lose the same lines. Empty table: empty result. Documents that lose lines are broadcast if
     they are few, else both sides are shuffled by id.
     """
-    gone = removed_lines(docs, id_col, text_col, min_words).withColumnsRenamed({"_id": "_gi", "_th": "_gt"})
+    gone = removed_lines(docs, id_col, text_col, min_words, exact_words).withColumnsRenamed({"_id": "_gi", "_th": "_gt"})
     df = docs.drop("removed_lines", "n_lines").join(small(gone, 96), F.col(id_col).eqNullSafe(F.col("_gi")) & (F.xxhash64(text_col) == F.col("_gt")), "left")
     df = df.withColumn("_ls", F.split(text_col, "\n"))  # a column of its own, so that no lambda splits again
     lines = F.col("_ls")
