@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from vecspark.llm import neardup
@@ -64,3 +65,14 @@ def test_the_pipelines_stage_removes_near_copies(spark):
     docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate((words, near, far))], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 2]
     assert neardup.near_duplicates(docs.limit(0)).collect() == []
+
+
+def test_sketches_lose_no_similar_pair():
+    rng = random.Random(1)
+    for _ in range(500):
+        n = rng.randrange(1, 400)
+        own = [rng.getrandbits(64) for _ in range(n)]
+        other = own[: n - rng.randrange(n // 4 + 1)] + [rng.getrandbits(64) for _ in range(rng.randrange(n // 4 + 1))]
+        a, b = (np.unique(np.array(v, np.uint64)) for v in (own, other))
+        if neardup.similar(a, b, 0.8):
+            assert neardup.may_be_similar(neardup.sketch(a), len(a), neardup.sketch(b), len(b), 0.8)

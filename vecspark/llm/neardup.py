@@ -45,6 +45,21 @@ def prefix(own: np.ndarray, least: float, common: np.ndarray) -> np.ndarray:
     return own[: n - math.ceil(least * n - EPS) + 1]
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """Parities of the shingles in at least as many bits as there are shingles, a power of two: half of it folds on the other."""
+    bits = 1 << max(6, (max(1, len(own)) - 1).bit_length())
+    return np.packbits(np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little")
+
+
+def may_be_similar(a: np.ndarray, n: int, b: np.ndarray, m: int, least: float) -> bool:
+    """False only for sets under ``least``: sketches differ in at most as many bits as the sets in shingles."""
+    while len(a) != len(b):
+        if len(a) < len(b):
+            a, b = b, a
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum()) * (1 + least) <= (n + m) * (1 - least) + EPS
+
+
 def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both >= least * (len(a) + len(b) - both) - EPS
@@ -83,10 +98,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_co
             own = [shingle_set(t, shingle) for t in b.column(2).to_pylist()]
             node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in own], np.uint64).view(np.int64)
             keys = pa.array([prefix(s, least, common).view(np.int64) for s in own], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array([len(s) for s in own], pa.int32()), keys], names=["_id", "_th", "_node", "_n", "_keys"])
+            bits = pa.array([sketch(s).tobytes() for s in own], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array([len(s) for s in own], pa.int32()), keys, bits], names=["_id", "_th", "_node", "_n", "_keys", "_bits"])
 
-    held = work.stage(texts.mapInArrow(sets, f"_id {kind}, _th long, _node long, _n int, _keys array<bigint>"), "sets")
+    held = work.stage(texts.mapInArrow(sets, f"_id {kind}, _th long, _node long, _n int, _keys array<bigint>, _bits binary"), "sets")
     nodes = work.stage(held.groupBy("_node").agg(F.min("_id").alias("_least"), F.min("_th").alias("_t")), "nodes")
+    first = held.select("_node", "_id", "_th", "_n", "_bits").join(nodes.select(F.col("_node").alias("_f"), "_t"), (F.col("_node") == F.col("_f")) & (F.col("_th") == F.col("_t")))
+    sketches = work.stage(first.select("_node", "_n", "_bits").dropDuplicates(["_node"]), "sketches")
     keyed = held.dropDuplicates(["_node"]).select(F.explode("_keys").alias("key"), F.col("_node").alias("node"), F.col("_n").alias("n"))
 
     def meet(batches):
@@ -115,25 +133,33 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_co
 
     met = work.stage(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "key long, node long, n long, head long"), "met")
 
-    wanted = nodes.join(met.select("node").distinct(), nodes["_node"] == F.col("node"), "left_semi").select(F.col("_t"), "_node")
-    wanted = work.stage(wanted, "wanted")
-    full = texts.join(small(wanted, 24), F.col("_th") == F.col("_t")).select("_node", "_text").groupBy("_node").agg(F.first("_text").alias("_text"))
-
     def whole(batches):
         for b in released(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, shingle).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["node", "set"])
 
-    full = work.stage(full.mapInArrow(whole, "node long, set binary"), "full")
-
     def check(batches):
         for b in batches:
             x, y = (b.column(k).to_pylist() for k in (2, 3))
             good = [similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), least) for p, q in zip(x, y, strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
+    def rough(batches):
+        for b in batches:
+            x, n, y, m = (b.column(k).to_pylist() for k in (2, 3, 4, 5))
+            good = [may_be_similar(np.frombuffer(p, np.uint8), i, np.frombuffer(q, np.uint8), j, least) for p, i, q, j in zip(x, n, y, m, strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
     def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """The similar ones; only pairs whose sketches allow it have their texts read again."""
+        one, other = (sketches.select(F.col("_node").alias(f"n{k}"), F.col("_bits").alias(f"s{k}"), F.col("_n").alias(f"c{k}")) for k in (1, 2))
+        sides = pairs.join(one, F.col("a") == F.col("n1")).join(other, F.col("b") == F.col("n2")).select("a", "b", "s1", "c1", "s2", "c2")
+        open_pairs = work.stage(sides.mapInArrow(rough, "a long, b long"), f"{name}-rough")
+        ends = open_pairs.select(F.col("a").alias("node")).union(open_pairs.select("b")).distinct()
+        wanted = work.stage(nodes.join(ends, nodes["_node"] == ends["node"], "left_semi").select("_t", "_node"), f"{name}-wanted")
+        full = texts.join(small(wanted, 24), F.col("_th") == F.col("_t")).select("_node", "_text").groupBy("_node").agg(F.first("_text").alias("_text"))
+        full = work.stage(full.mapInArrow(whole, "node long, set binary"), f"{name}-full")
         one, other = (full.select(F.col("node").alias(f"n{k}"), F.col("set").alias(f"s{k}")) for k in (1, 2))
-        sides = pairs.join(one, F.col("a") == F.col("n1")).join(other, F.col("b") == F.col("n2")).select("a", "b", "s1", "s2")
+        sides = open_pairs.join(one, F.col("a") == F.col("n1")).join(other, F.col("b") == F.col("n2")).select("a", "b", "s1", "s2")
         return work.stage(sides.mapInArrow(check, "a long, b long"), name)
 
     pairs = met.filter("node <> head").select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()
