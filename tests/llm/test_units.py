@@ -14,7 +14,7 @@ from vecspark.llm.tokencount import safe_pieces, token_lengths  # noqa: E402
 
 FILES = [public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json")]
 ENCODERS = {f: (UnitEncoder(f), Tokenizer.from_file(f)) for f in FILES}
-PIECES = ["the", "The.", "don't", " ", "  ", "\n", "\n\n", "\t", " \n", "a.b", "...", "x,y.", "é", "é", "J̌", "ÄÖß", "İ", "K", " ", " ", "\x1c", "\x1f", "\x01", "12.5", "日本語", "<|endoftext|>", "<|startoftext|>", "<|", "🙂", "Σας", "'s", "!!", "a$$$", "É&&&b", "x:y;", "#%*", "½", "हिन्दी."]
+PIECES = ["the", "The.", "don't", " ", "  ", "\n", "\n\n", "\t", " \n", "a.b", "...", "x,y.", "é", "é", "J̌", "ÄÖß", "İ", "K", " ", " ", "\x1c", "\x1f", "\x01", "12.5", "日本語", "<|endoftext|>", "<|startoftext|>", "<|", "🙂", "Σας", "'s", "!!", "a$$$", "É&&&b", "x:y;", "#%*", "½", "हिन्दी.", "VERGİSİ.", "ज़.", "ज़ ", "ড়,"]
 
 
 def same(texts, file):
@@ -34,6 +34,27 @@ def test_units_give_the_ids_of_whole_texts(file, data):
     same(texts, file)
 
 
+@pytest.mark.parametrize("file", FILES)
+def test_every_code_point_beside_every_mark(file):
+    codes = [c for c in [*range(0x34000), *range(0xE0000, 0xE0200), 0xF0000, 0x10FFFD] if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(codes), 20_000):
+        same(["".join(f"{chr(c)}{m}a{m}" for m in ".,!?;:#$%&*") + chr(c) for c in codes[k : k + 20_000]], file)
+
+
+def test_other_tokenizers_encode_texts_whole(tmp_path):
+    setup = json.loads(Tokenizer.from_file(FILES[0]).to_str())
+    for k, change in enumerate(({"pre_tokenizer": {**setup["pre_tokenizer"], "add_prefix_space": True}}, {"normalizer": {"type": "NFKC"}}, {"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}})):
+        path = tmp_path / f"{k}.json"
+        path.write_text(json.dumps(setup | change))
+        enc, tok = UnitEncoder(str(path)), Tokenizer.from_file(str(path))
+        assert enc.kind is None
+        texts = ["Hello there. A b,c", "", "x\ny " * 300, "ﬁne ½."]
+        want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+        ids, n = enc.encode(pa.array(texts))
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+        assert token_lengths(pa.array(texts), str(path), 1000, 64).tolist() == n.tolist()
+
+
 @pytest.mark.parametrize("file", FILES)
 def test_memory_starts_anew(file):
     enc = UnitEncoder(file, max_units=5)

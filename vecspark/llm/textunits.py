@@ -4,11 +4,13 @@ A text is cut at boundaries where the tokenizer's own pre-tokenisation always cu
 text are the ids of its units one after another. Arrow splits the texts and numbers the units; each new
 unit is encoded by the tokenizers library and then looked up, which is several times faster than
 encoding every text whole. Texts in which such boundaries are not certain (control characters, unusual
-or doubled white space, special strings) are encoded whole by the library.
+or doubled white space, special strings, letters that the library's normaliser ties to a mark behind
+them) are encoded whole by the library; so is every text under a tokenizer of another kind than the two known.
 """
 
 from __future__ import annotations
 
+import json
 from itertools import compress
 
 import numpy as np
@@ -18,34 +20,105 @@ import pyarrow.compute as pc
 #: Control characters, and white space other than single spaces and line ends.
 _IRREGULAR = r"[\x00-\x09\x0b-\x1f\x7f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|<\|"
 _SEPARATOR = "\x1f"
+#: Units end between a letter and one of these.
+_MARKS = "[.,!?;:#$%&*]"
 #: Units are encoded together in texts of so many, with a mark between them whose id is known.
 _TOGETHER = 2000
 
 
+#: The two set-ups under which units are known to be safe, as the tokenizer files write them.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_FOLD = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+
+
+def kind_of(setup: dict) -> str | None:
+    """``bytes`` or ``words`` for a tokenizer file under which texts can be cut into units, else None.
+
+    Looked at are all parts that can reach over a cut: truncation, padding, the model, the added strings,
+    the normaliser and the pre-tokenizer.
+    """
+    model = setup["model"]
+    if setup.get("truncation") or setup.get("padding") or model.get("type") != "BPE" or model.get("dropout"):
+        return None
+    if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or not t["content"].startswith("<|") for t in setup["added_tokens"]):
+        return None
+    byte_level = lambda p, regex: p and p["type"] == "ByteLevel" and not p["add_prefix_space"] and p.get("use_regex", True) == regex
+    folds, cuts = setup.get("normalizer"), setup.get("pre_tokenizer")
+    if folds is None and byte_level(cuts, True):
+        return "bytes"
+    if not folds or not cuts or folds["type"] != "Sequence" or folds["normalizers"] != _FOLD or cuts["type"] != "Sequence" or len(cuts["pretokenizers"]) != 2:
+        return None
+    first, second = cuts["pretokenizers"]
+    split = first["type"] == "Split" and first["pattern"] == {"Regex": _SPLIT} and first["behavior"] == "Removed" and first["invert"]
+    return "words" if split and byte_level(second, False) else None
+
+
+def tied_letters(tokenizer) -> str:
+    """A pattern of the letters (as Arrow tells them) that the tokenizer doesn't part from a mark behind them.
+
+    Every code point is tried: one that normalises to a letter and a combining mark is such a letter, and
+    so is one that the tokenizer's tables don't call a letter. Empty if there is none.
+    """
+    code = np.concatenate([np.arange(0x80, 0xD800), np.arange(0xE000, 0xF0000)])  # private use lies behind
+    every = code.astype("<u4").tobytes().decode("utf-32-le")
+    letters = pc.replace_substring_regex(pa.array([every]), r"\PL+", "")[0].as_py()
+    letters = np.frombuffer(letters.encode("utf-32-le"), "<u4")
+    tied = []
+    for k in range(0, len(letters), 1 << 13):
+        own = letters[k : k + (1 << 13)]
+        parts = list(map(chr, own.tolist()))
+        if tokenizer.normalizer:
+            parts = tokenizer.normalizer.normalize_str("\n".join(parts)).split(" ")
+        if len(parts) != len(own):
+            raise ValueError("letters could not be told apart")
+        starts = {at for _, (at, _) in tokenizer.pre_tokenizer.pre_tokenize_str("".join(p + ".\n" for p in parts))}
+        at = np.cumsum([len(p) + 2 for p in parts]) - 2
+        plain = [m in starts and p.isalpha() for m, p in zip(at.tolist(), parts, strict=True)]
+        tied += own[~np.array(plain)].tolist()
+    runs = np.split(tied, np.flatnonzero(np.diff(tied) > 1) + 1) if tied else []
+    return "".join(rf"\x{{{r[0]:x}}}-\x{{{r[-1]:x}}}" for r in runs)
+
+
+_TIED: dict[str, str] = {}
+
+
+def tied_of(path: str) -> str:
+    """``tied_letters`` of a file, found once a process: the driver does it and hands it to its tasks."""
+    if path not in _TIED:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        _TIED[path] = tied_letters(tokenizer) if kind_of(json.loads(tokenizer.to_str(pretty=False))) else ""
+    return _TIED[path]
+
+
 class UnitEncoder:
     """Ids and lengths of texts under one ``tokenizers`` file, with bounded memory.
 
-    Two kinds of pre-tokenizer are told apart. One removes white space: units end at spaces and line
-    ends. The other (byte-level) keeps it: units start at a space, and a line end is a unit. Both cut
-    between a letter and one of the marks ``.,!?;:#$%&*``. Special strings inside texts are matched as
-    the library does by default. At most ``max_units`` units are remembered (or those of one call, if more); beyond
-    that the memory starts anew with the units at hand, which costs time only.
+    Two kinds of pre-tokenizer are told apart (``kind_of``). One removes white space: units end at spaces
+    and line ends. The other (byte-level) keeps it: units start at a space, and a line end is a unit. Both cut
+    between a letter and one of the marks ``.,!?;:#$%&*``. Under any other tokenizer texts are encoded whole.
+    Special strings inside texts are matched as the library does by default. At most ``max_units`` units are
+    remembered (or those of one call, if more); beyond that the memory starts anew with the units at hand,
+    which costs time only.
     """
 
-    def __init__(self, path: str, max_units: int = 600_000):
+    def __init__(self, path: str, max_units: int = 600_000, tied: str | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        setup = self.tokenizer.to_str(pretty=False).replace(" ", "")
-        self.drops_space = '"behavior":"Removed"' in setup
-        self.lower = '"type":"Lowercase"' in setup
+        self.kind = kind_of(json.loads(self.tokenizer.to_str(pretty=False)))
+        self.drops_space = self.lower = self.kind == "words"
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        if any(not s.startswith("<|") for s in self.special):
-            raise ValueError("special strings must start with <|")
-        # Lower case changes how some letters join with combining marks, so such texts stay whole.
-        self.irregular = _IRREGULAR + (r"|\pM" if self.lower else "")
         self.mark = " \x01 " if self.drops_space else "\n"
-        (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
+        mark = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
+        if len(mark) != 1:
+            self.kind = None
+        if self.kind:
+            (self.mark_id,) = mark
+            tied = tied_of(path) if tied is None else tied
+            # Lower case changes how some letters join with combining marks, so such texts stay whole.
+            self.irregular = _IRREGULAR + (r"|\pM" if self.lower else "") + (f"|[{tied}]{_MARKS}" if tied else "")
         self.max_units = max_units
         self._clear()
 
@@ -78,7 +151,7 @@ class UnitEncoder:
             if len(self.index) + len(missing) > self.max_units:
                 self._forget_others(units, at)
             new = [units[k] for k in missing.tolist()]
-            usual = np.fromiter((u != "" and u != self.mark for u in new), bool, len(new))
+            usual = np.fromiter((u not in ("", " ", self.mark) for u in new), bool, len(new))
             plain, extra = list(compress(new, usual.tolist())), list(compress(new, (~usual).tolist()))
             ids = self._whole([self.mark.join(plain[k : k + _TOGETHER]) + self.mark for k in range(0, len(plain), _TOGETHER)])
             ids = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
@@ -102,7 +175,7 @@ class UnitEncoder:
         """The remembered place of every unit of all texts, and the number of units of each text."""
         if self.lower:
             texts = pc.ascii_lower(texts)
-        texts = pc.replace_substring_regex(texts, r"(\pL)([.,!?;:#$%&*])", "\\1" + _SEPARATOR + "\\2")
+        texts = pc.replace_substring_regex(texts, rf"(\pL)({_MARKS})", "\\1" + _SEPARATOR + "\\2")
         if self.drops_space:
             texts = pc.replace_substring(pc.replace_substring(texts, "\n", _SEPARATOR), " ", _SEPARATOR)
         else:
@@ -113,6 +186,8 @@ class UnitEncoder:
         return at[coded.indices.to_numpy()], pc.list_value_length(split).to_numpy().astype(np.int64)
 
     def _by_kind(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not self.kind:
+            return np.zeros(0, np.int64), np.arange(len(texts))
         odd = pc.match_substring_regex(texts, self.irregular).to_numpy(zero_copy_only=False)
         return np.flatnonzero(~odd), np.flatnonzero(odd)
 
@@ -154,10 +229,10 @@ class UnitEncoder:
 _ENCODERS: dict[tuple[str, bool], UnitEncoder] = {}
 
 
-def encoder(path: str, frugal: bool = False) -> UnitEncoder:
+def encoder(path: str, frugal: bool = False, tied: str | None = None) -> UnitEncoder:
     """The worker's encoder of ``path``, kept between tasks; a worker keeps one at a time.
 
-    ``frugal``: a fraction of the memory for more time, for jobs whose other stages need it.
+    ``tied``: what ``tied_of`` found in the driver. ``frugal``: a fraction of the memory for more time, for jobs whose other stages need it.
     """
     if (path, frugal) not in _ENCODERS:
         import os
@@ -165,7 +240,7 @@ def encoder(path: str, frugal: bool = False) -> UnitEncoder:
         _ENCODERS.clear()
         _give_back()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task has one core
-        _ENCODERS[path, frugal] = UnitEncoder(path, 120_000 if frugal else 600_000)
+        _ENCODERS[path, frugal] = UnitEncoder(path, 120_000 if frugal else 600_000, tied)
     return _ENCODERS[path, frugal]
 
 

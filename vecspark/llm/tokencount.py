@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecspark.llm.textunits import balanced, encoder, released
+from vecspark.llm.textunits import balanced, encoder, released, tied_of
 
 _VISIBLE_THEN_SPACE = re.compile(r"(?<=[^\s\x1c-\x1f]) ")
 
@@ -35,12 +35,12 @@ def safe_pieces(text: str, size: int, special: tuple[str, ...] = ()) -> list[str
     return out
 
 
-def token_lengths(texts: pa.Array, path: str, batch_bytes: int, piece_chars: int, frugal: bool = False) -> np.ndarray:
-    """Token count of each text, in batches balanced by bytes; texts over ``piece_chars`` go in pieces."""
-    enc = encoder(path, frugal)
+def token_lengths(texts: pa.Array, path: str, batch_bytes: int, piece_chars: int, frugal: bool = False, tied: str | None = None) -> np.ndarray:
+    """Token count of each text, in batches balanced by bytes; texts over ``piece_chars`` go in pieces (under the known kinds of tokenizer)."""
+    enc = encoder(path, frugal, tied)
     out = np.zeros(len(texts), np.int64)
     owner = np.arange(len(texts))
-    longer = np.flatnonzero(pc.utf8_length(texts).to_numpy(zero_copy_only=False) > piece_chars)
+    longer = np.zeros(0, np.int64) if not enc.kind else np.flatnonzero(pc.utf8_length(texts).to_numpy(zero_copy_only=False) > piece_chars)
     if len(longer):
         cut = [[t] for t in texts.to_pylist()]
         for k in longer.tolist():
@@ -62,9 +62,11 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("id", kind), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), *[T.StructField(f"_a{k}", docs.schema[c].dataType) for k, c in enumerate(also)]])
 
+    tied = tied_of(tokenizer_path)
+
     def count(batches):
         for b in released(batches) if frugal else batches:
-            n = token_lengths(b.column(2), tokenizer_path, min(batch_bytes, 1 << 20) if frugal else batch_bytes, piece_chars, frugal)
+            n = token_lengths(b.column(2), tokenizer_path, min(batch_bytes, 1 << 20) if frugal else batch_bytes, piece_chars, frugal, tied)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), *b.columns[3:]], names=schema.names)
 
     text = F.coalesce(F.col(text_col), F.lit(""))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecspark.llm.textunits import balanced, encoder
+from vecspark.llm.textunits import balanced, encoder, tied_of
 
 MAGIC = b"FRB1"
 _SHIFTS = np.arange(0, 8, 2, dtype=np.uint8)
@@ -86,10 +86,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("n_ids", T.LongType()), T.StructField("doc_ids", T.ArrayType(kind)), T.StructField("lengths", T.ArrayType(T.LongType())), T.StructField("data", T.BinaryType())])
 
+    tied = tied_of(tokenizer_path)
+
     def write(batches):
         from pyspark import TaskContext
 
-        enc, shard, block = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        enc, shard, block = encoder(tokenizer_path, tied=tied), TaskContext.get().partitionId(), 0
         arrow = schema_arrow(schema)
         doc_ids, lengths, parts, held = [], [], [], 0
 
