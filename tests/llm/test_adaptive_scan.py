@@ -1,4 +1,7 @@
+import os
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from vecspark.llm import adaptive_scan as A
@@ -46,6 +49,58 @@ def test_odd_vectors_ties_and_few_rows(spark):
     assert A.search(df.limit(0), F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_many_equal_vectors_come_in_the_order_of_their_ids(spark):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((60, 7))
+    rows = [(int(i), base[rng.integers(60)].tolist()) for i in rng.permutation(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    for block in (None, 37):
+        got = {}
+        for r in A.search(df, F.col("vec_id") % 50 == 0, k=5, block=block).collect():
+            got.setdefault(r["query_id"], []).append(r)
+        x = dict(rows)
+        for q, rs in got.items():
+            rs.sort(key=lambda r: r["rank"])
+            equal = sorted(i for i, v in x.items() if v == x[q] and i != q)[:5]
+            assert len(equal) == 5 and [r["vec_id"] for r in rs] == equal
+            assert len({r["score"] for r in rs}) == 1
+
+
+def test_products_do_not_depend_on_the_place_of_a_row():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 3, 7, 64, 101):
+        x = np.repeat(rng.standard_normal((1, 67)), n, axis=0)
+        assert len(set(A.products(x, rng.standard_normal(67)).tolist())) == 1
+
+
+def test_very_large_and_small_numbers(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e-200, 0.0]), (2, [1e200, 1e199]), (3, [-1e-300, -1e-300])]
+    got = A.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])] == [2, 1, 3]
+    assert abs(got[0]["score"]) <= 1 + 1e-12
+
+
+@pytest.mark.parametrize("table", ["sf0.001", "sf0.01", "sf0.1", "check_s"])
+def test_recall_on_the_given_tables(spark, table):
+    path = f"/root/testdata/{table}/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables here")
+    df = spark.read.parquet(path)
+    rows = [(r["vec_id"], r["embedding"]) for r in df.select("vec_id", "embedding").collect() if r["embedding"] is not None]
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = {}
+    for r in A.search(df, F.col("vec_id") % 50 == 0, k=5).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = total = 0
+    for i in np.flatnonzero(ids % 50 == 0):
+        near = x @ x[i]
+        near[i] = -2
+        true = set(ids[np.argsort(-near)[:5]].tolist())
+        hits, total = hits + len(true & got[ids[i]]), total + len(true)
+    assert hits / total >= 0.9
+
+
 def test_repeated_rows_are_candidates_of_each_other(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (0, [1.0, 2.0]), (1, [1.0, 0.0])], "vec_id long, embedding array<double>")
     got = sorted((r["rank"], r["vec_id"]) for r in A.search(df, F.col("vec_id") == 0, k=5).collect())

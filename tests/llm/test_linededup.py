@@ -25,14 +25,16 @@ def edits(a, b):
 
 
 def brute(rows):
-    """Each document's kept text: no earlier line of five words or more within one edit."""
-    seen, out = [], {}
+    """Each document's kept text: no line that an earlier one equals, none of five words or more within one edit of one."""
+    seen, exact, out = [], set(), {}
     for i, text in sorted(rows, key=lambda r: r[0]):
         keep = []
         for line in (text or "").split("\n"):
             w = split_words(line)
-            if len(w) < 5 or not any(abs(len(w) - len(s)) < 2 and edits(w, s) <= 1 for s in seen):
+            near = len(w) >= 5 and any(abs(len(w) - len(s)) < 2 and edits(w, s) <= 1 for s in seen)
+            if not w or (tuple(w) not in exact and not near):
                 keep.append(line)
+            exact.add(tuple(w))
             if len(w) >= 5:
                 seen.append(w)
         out[i] = None if text is None else "\n".join(keep)
@@ -99,5 +101,41 @@ def test_within_one(spark):
 
 def test_exact_repeats_of_short_lines(spark):
     rows = [(1, "Les.\n\nAll rights reserved."), (2, "les.\n\nall  rights RESERVED.\nAll rights\na line of five words"), (3, "Les\n \na line of six words\nAll rights")]
-    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), exact_words=1).collect()
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["text"] for r in got} == {1: rows[0][1], 2: "\nAll rights\na line of five words", 3: "Les\n "}
+
+
+def test_chains_of_prefixes(spark):
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(50)}" for _ in range(400)]
+    rows = [(n, base[:n]) for n in (1, 5, 63, 64, 65, 127, 128, 129, 300, 400)] + [(-k, base[:k] + ["other"] + base[k + 1 :]) for k in (0, 63, 64, 200)]
+    df = spark.createDataFrame([(n, w) for n, w in rows], "n int, w array<string>")
+    got = {r["n"]: r["c"] for r in df.select("n", linededup._chain(F.col("w")).alias("c")).collect()}
+    for n, c in got.items():
+        same = n + len(base) * 0 if n > 0 else -n
+        assert len(c) == (n if n > 0 else 400) + 1
+        assert c[: same + 1] == got[400][: same + 1] and (n > 0 or not set(c[same + 1 :]) & set(got[400][same + 1 :]))
+    assert len(set(got[400])) == 401
+
+
+def test_a_line_of_very_many_words(spark):
+    words = [f"w{k % 9973}" for k in range(200_000)]
+    near, far = list(words), list(words)
+    near[150_000] = "x"
+    far[3] = far[199_999] = "x"
+    rows = [(k, " ".join(w)) for k, w in enumerate((words, near, far))]
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["text"] == "" for r in got} == {0: False, 1: True, 2: False}
+
+
+def test_columns_with_the_operators_names(spark):
+    rows = [(k, "one line of five words", f"a{k}", f"b{k}", k, k) for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _removed string, _id string, _c0 int, `n.lines` int")
+    got = sorted(map(tuple, linededup.dedup_lines(df).select("doc_id", "text", "_removed", "_id", "_c0", "`n.lines`").collect()))
+    assert got == [(k, "" if k else "one line of five words", f"a{k}", f"b{k}", k, k) for k in range(3)]
+
+
+def test_documents_that_are_repeated_very_often(spark):
+    rows = [(7, "a first line of many words\nsecond line of the very same text")] * 500 + [(8, "a first line of more words")]
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted({(r["doc_id"], r["text"]) for r in got}) == [(7, rows[0][1]), (8, "")] and len(got) == 501

@@ -68,3 +68,12 @@ def test_odd_rows(spark):
     got = mixing.mix(df, LEVELS, lambda p: 1.0, 1.0, 1).collect()
     assert sorted((str(r["doc_id"]), r["epoch"]) for r in got) == [("1", 0), ("4", 0), ("4", 0), ("None", 0)]
     assert mixing.mix(df.limit(0), LEVELS, lambda p: 1.0).collect() == []
+
+
+def test_columns_with_the_operators_names(spark):
+    rows = [(k, "d", "l", "s", 5, f"w{k}", f"c{k}", f"r{k}", k, k) for k in range(6)]
+    schema = "doc_id long, domain string, lang string, source string, n_tokens long, whole string, cut string, rest string, _whole int, _c0 int"
+    got = mixing.mix(spark.createDataFrame(rows, schema), LEVELS, lambda p: 1.0, 1.0, 1).collect()
+    assert sorted(tuple(r)[:-1] for r in got) == rows and {r["epoch"] for r in got} == {0}
+    odd = spark.createDataFrame([(1, "a", "b", 3)], "doc_id long, n string, `rest` string, n_tokens long")
+    assert [r["n"] for r in mixing.mix(odd, ["n", "rest"], lambda p: 1.0).collect()] == ["a"] * 1

@@ -1,3 +1,4 @@
+import os
 import random
 import zlib
 
@@ -9,10 +10,11 @@ import corpus_pipeline  # noqa: E402
 
 from tests.llm.test_linededup import brute as dedup  # noqa: E402
 from tests.llm.test_mixing import brute as mixed  # noqa: E402
-from tests.llm.test_simhash import plain_components, plain_fingerprint  # noqa: E402
+from tests.llm.test_neardup import plain_set  # noqa: E402
 from tests.llm.test_tokens import check_places, ids_of  # noqa: E402
 from vecspark.llm import mixing  # noqa: E402
 from vecspark.llm.queries import LEVELS, WEIGHTS  # noqa: E402
+from vecspark.llm.shared import shared_dir  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -61,15 +63,14 @@ def test_each_stage_matches_brute_force(spark, folder):
     assert all(r["text"] is None or r["n_chars"] == len(r["text"]) for r in got)
 
     one = stages[2](spark, docs, path)
-    fps = {r[0]: plain_fingerprint(r[1], 4) for r in rows}
-    comp = plain_components(set(fps.values()), 4)
-    least = {}
-    for i, f in sorted(fps.items()):
-        least.setdefault(comp[f], i)
-    assert sorted(r["doc_id"] for r in one.collect()) == sorted(least.values()) and one.columns == docs.columns
+    sets, least = {r[0]: plain_set(r[1]) for r in rows}, {}
+    for i in sorted(sets):
+        near = [least[j] for j in least if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+        least[i] = min(near, default=i)
+    assert sorted(r["doc_id"] for r in one.collect()) == sorted(set(least.values())) and one.columns == docs.columns
 
     mix = stages[3](spark, docs, path)
-    leaf = [(r[0], f"domain{zlib.crc32((r[3] or '').encode()) % 4}", r[2], r[3], len(ids_of(P.path("byte_bpe_50k.json"), r[1])), 0) for r in rows]
+    leaf = [(r[0], f"domain{zlib.crc32((r[3] or '').encode()) % 4}", r[2], r[3], len(ids_of(P.path(corpus_pipeline.VOCABULARY), r[1])), 0) for r in rows]
     want = mixed(leaf, mixing.weights(WEIGHTS, LEVELS), 1.0, 2, 11)
     assert sorted(str(r["doc_id"]) for r in mix.collect()) == sorted(str(i) for i, _ in want) and mix.columns == docs.columns
 
@@ -91,3 +92,27 @@ def test_run_chains_the_stages(spark, folder):
     got = corpus_pipeline.run(spark, path)
     key = lambda df: sorted(tuple(r[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")) for r in df.collect())
     assert key(got) == key(docs) and got.count() > 0
+
+
+def test_stages_keep_columns_of_any_name_and_odd_rows(spark, folder):
+    path, rows = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    own = ("domain", "epoch", "n_lines", "removed_lines", "score", "_id", "_th", "_text", "_root", "_c0", "_keep", "f_words", "component_id", "a.b")
+    wide = docs.selectExpr("*", *[f"concat('{c}-', doc_id) as `{c}`" for c in own])
+    wide = wide.unionByName(wide.filter("doc_id = 3"))
+    for _, f in corpus_pipeline.STAGES[:-1]:
+        got = f(spark, wide, path)
+        assert got.columns == wide.columns
+        out = got.collect()
+        assert out and all(r[c] == f"{c}-{r['doc_id']}" for r in out for c in own)
+        assert f(spark, wide.limit(0), path).collect() == []
+    assert corpus_pipeline.STAGES[-1][1](spark, wide, path).count() > 0
+    assert corpus_pipeline.STAGES[-1][1](spark, wide.limit(0), path).collect() == []
+
+
+def test_run_leaves_only_its_result(spark, folder):
+    path, _ = folder
+    before = set(os.listdir(shared_dir(spark)))
+    corpus_pipeline.run(spark, path)
+    new = [d for d in set(os.listdir(shared_dir(spark))) - before if os.path.isdir(f"{shared_dir(spark)}/{d}")]
+    assert len(new) == 1 and os.listdir(f"{shared_dir(spark)}/{new[0]}") == ["stage4"]

@@ -68,3 +68,17 @@ def test_tree_1d_finds_the_cut():
     g = np.array([1.0, 1, 1, -1, -1])
     value = G.tree_1d(g, np.ones(5), 2, 0.0)
     assert value == pytest.approx([-1, -1, -1, 1, 1])
+
+
+def test_columns_with_the_operators_names(spark):
+    docs, labels = corpus(60)
+    df = spark.createDataFrame([(i, t, "a", "b", "c", 1) for i, t, *_ in docs], "doc_id long, text string, _t string, _w string, `f_x.y` string, _score int")
+    kept = G.accepted(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert kept.columns == df.columns and {(r["_t"], r["_w"], r["f_x.y"], r["_score"]) for r in kept.collect()} == {("a", "b", "c", 1)}
+
+
+def test_very_many_rows_of_one_labelled_id(spark):
+    df = spark.createDataFrame([(7, f"text {k}", "x") for k in range(500)] + [(8, "other", "x")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(7, 1, 0), (7, 1, 0), (8, 0, 0)], "doc_id long, quality int, toxic int")
+    model = G.train(df, labels, max_rows=50)
+    assert 0 < model.score(np.zeros((1, len(model.cuts))))[0] < 1

@@ -96,11 +96,20 @@ def test_hot_keys_are_dealt_to_blocks(spark):
     assert len(roots) == len(fps) and len({r["root"] for r in roots}) == 1
 
 
+@pytest.mark.parametrize("max_bits", [4, 12, 28])
+def test_ring_chains_lose_no_fingerprint(max_bits):
+    rng = np.random.default_rng(max_bits)
+    x = [sum(1 << int(b) for b in rng.choice(64, n, replace=False)) for n in rng.integers(0, 40, 3000)]
+    want = [v.bit_count() <= max_bits for v in x]
+    assert simhash.ring_near(np.array(x, np.uint64), max_bits).tolist() == want
+    assert simhash.ring_near(np.zeros(0, np.uint64), max_bits).tolist() == []
+
+
 def test_empty_table_and_one_of_each(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, component_id long")
     assert simhash.near_duplicates(empty).collect() == []
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "A B c d e f"), (3, "q"), (None, None), (None, "")], "doc_id long, text string")
-    groups = simhash.near_duplicates(docs)
+    groups = simhash.near_duplicates(docs, roots=True)
     kept = simhash.one_of_each(docs, groups).collect()
     assert sorted(map(tuple, kept), key=str) == sorted([(1, "a b c d e f"), (3, "q"), (None, None)], key=str)
 

@@ -102,5 +102,15 @@ def test_wrong_lengths_are_refused(spark):
     for bad in (0, 11, None):
         with pytest.raises(ValueError):
             packing.pack(spark.createDataFrame([(1, bad)], "k long, length long"), 10)
-    with pytest.raises(ValueError):
-        packing.pack(spark.createDataFrame([(1, 1)], "offset long, length long"), 10)
+
+
+def test_columns_with_the_operators_names(spark):
+    names = ["offset", "sequence_id", "_length", "_n", "_base", "_p", "_rank", "_place", "_part", "_row", "_c0", "a.b"]
+    df = spark.createDataFrame([(7, *range(12))], "n long, " + ", ".join(f"`{c}` int" for c in names))
+    got = packing.pack(df, 10, length_col="n").collect()
+    assert [r.asDict() for r in got] == [{"n": 7, **dict(zip(names, range(12))), "sequence_id": 0, "offset": 0}]
+    docs = spark.createDataFrame([(1, "a b", "x", "y", "z")], "doc_id long, text string, _id string, ids string, length string")
+    assert packing.token_pieces(docs, WORDS).columns == ["doc_id", "piece", "start", "length", "ids"]
+    work = Workspace(spark, "test")
+    tokenfile.write_token_files(docs.withColumn("shard", docs["_id"]), f"{work.path}/ids", BYTES)
+    assert tokenfile.read_token_files(spark, f"{work.path}/ids").count() == 1

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecspark.llm.shared import Workspace, small
+from vecspark.llm.shared import Workspace, hide, quoted, show, small
 
 #: Leaves are a catalogue of sources, not documents; more than this is taken for a mistake.
 MAX_LEAVES = 1_000_000
@@ -109,14 +109,20 @@ def plan(docs: DataFrame, levels: list[str], weight: Callable[[tuple], float], b
     return work.stage(split.join(cut, same(split, cut), "left").select(*[split[c] for c in levels], "whole", "cut"), "plan")
 
 
-def epochs_of(docs: DataFrame, chosen: DataFrame, levels: list[str], seed: int, id_col: str) -> DataFrame:
-    """``docs`` with a row for each epoch in which a document is taken (``epoch``, from 0). No shuffle if leaves are few."""
-    names = {c: f"_p{k}" for k, c in enumerate(levels)}
-    joined = docs.join(small(chosen.withColumnsRenamed(names | {"whole": "_whole", "cut": "_cut"}), 128), [docs[c].eqNullSafe(F.col(n)) for c, n in names.items()])
+def epochs_of(docs: DataFrame, chosen: DataFrame, levels: list[str], seed: int, id_col: str, leaf: list[Column] | None = None) -> DataFrame:
+    """``docs`` with a row for each epoch in which a document is taken (``epoch``, from 0). No shuffle if leaves are few.
+
+    ``leaf``: what the levels are for a row of ``docs``, where they are not its columns. Columns of ``docs``
+    may have any names but ``epoch``, which is replaced.
+    """
+    names = {c: f"_c{k}" for k, c in enumerate(docs.columns)}
+    df = docs.select(*[docs[quoted(c)].alias(h) for c, h in names.items()], *[c.alias(f"_leaf{k}") for k, c in enumerate(leaf or [F.col(quoted(c)) for c in levels])])
+    table = chosen.select(*[F.col(c).alias(f"_p{k}") for k, c in enumerate(levels)], F.col("whole").alias("_whole"), F.col("cut").alias("_cut"))
+    joined = df.join(small(table, 128), [F.col(f"_leaf{k}").eqNullSafe(F.col(f"_p{k}")) for k in range(len(levels))])
     whole = F.when(F.col("_whole") > 0, F.sequence(F.lit(0), F.col("_whole") - 1)).otherwise(F.array().cast("array<int>"))
-    also = order_key(seed, F.col("_whole"), F.col(id_col)) <= F.col("_cut")
-    taken = F.when(also, F.array_append(whole, F.col("_whole"))).otherwise(whole)
-    return joined.withColumn("epoch", F.explode(taken)).drop(*names.values(), "_whole", "_cut")
+    also = order_key(seed, F.col("_whole"), F.col(names[id_col])) <= F.col("_cut")
+    taken = joined.withColumn("_epoch", F.explode(F.when(also, F.array_append(whole, F.col("_whole"))).otherwise(whole)))
+    return show(taken, {c: h for c, h in names.items() if c != "epoch"}, F.col("_epoch").alias("epoch"))
 
 
 def mix(docs: DataFrame, levels: list[str], weight: Callable[[tuple], float], budget_share: float = 1.0, max_epochs: int = 2, seed: int = 11, id_col: str = "doc_id", tokens_col: str = "n_tokens") -> DataFrame:
@@ -125,14 +131,18 @@ def mix(docs: DataFrame, levels: list[str], weight: Callable[[tuple], float], bu
     The budget is ``budget_share`` of all tokens; a leaf gives its tokens ``max_epochs`` times at most. A
     leaf's budget is filled by whole epochs, then by documents in the seeded order of the next one, up to
     and with the document that reaches it; documents that share an id stand together there. All columns stay
-    (an input column ``epoch`` is replaced). Null levels are a child of their own; null ids have one place;
-    null tokens count 0. Documents of a leaf without tokens are not taken. Empty table: empty result.
+    (an input column ``epoch`` is replaced), whatever their names. Null levels are a child of their own; null
+    ids have one place; null tokens count 0. Repeated rows are taken alike. Documents of a leaf without tokens
+    are not taken. Empty table: empty result.
 
     ``docs`` is read several times: write it first if its tokens are costly.
     """
-    docs = docs.drop("epoch")
     work = Workspace(docs.sparkSession, "mixing")
-    return epochs_of(docs, plan(docs, levels, weight, budget_share, max_epochs, seed, id_col, tokens_col, work), levels, seed, id_col)
+    df, names = hide(docs)
+    own = [names[c] for c in levels]
+    chosen = plan(df, own, weight, budget_share, max_epochs, seed, names[id_col], names[tokens_col], work)
+    work.keep("plan")
+    return epochs_of(docs, chosen.withColumnsRenamed(dict(zip(own, levels, strict=True))), levels, seed, id_col)
 
 
 def weights(table: dict[str, dict[str, float]], levels: list[str]) -> Callable[[tuple], float]:

@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecspark.llm.shared import Workspace
-from vecspark.llm.textunits import balanced, encoder, released
+from vecspark.llm.shared import Workspace, hide, quoted, show, small
+from vecspark.llm.textunits import balanced, encoder, released, tied_of
 
 
 def fullest(counts: dict[int, int], order: list[int], gap: int) -> dict[int, int]:
@@ -90,21 +90,22 @@ def runs_of(plan: list[tuple[int, dict[int, int]]], capacity: int) -> dict[str,
 def pack(pieces: DataFrame, capacity: int, length_col: str = "length", work: Workspace | None = None) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` (both long) to every row of ``pieces``.
 
-    Pieces of a sequence lie gapless from offset 0 and fill at most ``capacity``. All columns are kept;
-    the input is written once to the shared folder, so that ranks and rows come from the same files.
-    Lengths must be 1..``capacity`` (null or other lengths: an error, as they have no place). Equal rows
-    each get their own place. Empty input: empty result.
+    Pieces of a sequence lie gapless from offset 0 and fill at most ``capacity``. All columns are kept,
+    whatever their names (those named as the two new ones are replaced); the input is written once to the
+    shared folder, so that ranks and rows come from the same files. Lengths must be 1..``capacity`` (null or
+    other lengths: an error, as they have no place). Equal rows each get their own place, and pieces of equal
+    length any of theirs. Empty input: empty result.
     """
     spark = pieces.sparkSession
     work = work or Workspace(spark, "packing")
-    clash = {"sequence_id", "offset", "_part", "_row"} & set(pieces.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are the operator's own")
+    stay = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    pieces, names = hide(pieces.select(*[pieces[quoted(c)] for c in stay]))
+    label, length_col = length_col, names[length_col]
     held = work.stage(pieces.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()), "pieces")
     by_part = work.stage(held.groupBy(F.col(length_col).alias("_length"), "_part").agg(F.count("*").alias("_n")), "lengths")
     histogram = {r[0]: r[1] for r in by_part.groupBy("_length").agg(F.sum("_n")).collect()}  # at most ``capacity`` rows
     if None in histogram:
-        raise ValueError(f"{length_col} must not be null")
+        raise ValueError(f"{label} must not be null")
     runs = runs_of(plan_bins(histogram, capacity), capacity)
     # The table of runs is bounded by the number of different lengths, as the plan is.
     starts = np.searchsorted(runs["length"], np.arange(capacity + 2))
@@ -119,12 +120,13 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length", work: Wor
         return pd.DataFrame({"sequence_id": runs["bin"][at] + k // runs["per_bin"][at], "offset": runs["offset"][at] + k % runs["per_bin"][at] * n})
 
     before = Window.partitionBy("_length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    base = by_part.select("_length", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    base = work.stage(by_part.select("_length", F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")), "base")
+    work.drop("lengths")
     own = Window.partitionBy("_part", length_col).orderBy("_row")
     ranked = held.withColumn("_rank", F.row_number().over(own) - 1)
-    joined = ranked.join(base.withColumnRenamed("_part", "_p"), (F.col("_part") == F.col("_p")) & (F.col(length_col) == F.col("_length")))
+    joined = ranked.join(small(base, 24), (F.col("_part") == F.col("_p")) & (F.col(length_col) == F.col("_length")))
     placed = joined.withColumn("_place", place(F.col(length_col).cast("long"), F.col("_base") + F.col("_rank")))
-    return placed.select(*pieces.columns, F.col("_place.sequence_id").alias("sequence_id"), F.col("_place.offset").alias("offset"))
+    return show(placed, names, F.col("_place.sequence_id").alias("sequence_id"), F.col("_place.offset").alias("offset"))
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", frugal: bool = False) -> DataFrame:
@@ -132,12 +134,14 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end
 
     ``(id, piece int, start long, length long, ids binary)``; ``ids`` are little-endian unsigned 32-bit.
     Null text counts as empty: such a document is one piece that holds ``end_id``. Null ids and repeated
-    rows are kept. No shuffle.
+    rows are kept, other columns are not carried. Empty table: empty result. No shuffle.
     """
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())])
+    schema = T.StructType([T.StructField("_id", docs.schema[id_col].dataType), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())])
+
+    tied = tied_of(tokenizer_path)
 
     def cut(batches):
-        enc = encoder(tokenizer_path, frugal)
+        enc = encoder(tokenizer_path, frugal, tied)
         for b in released(batches) if frugal else batches:
             for first, last in balanced(b.column(1), (1 if frugal else 4) << 20):
                 ids, n = enc.encode(b.column(1).slice(first, last - first))
@@ -154,4 +158,5 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end
                         data.append(part.tobytes())
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(data, pa.binary())], names=schema.names)
 
-    return docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(cut, schema)
+    pieces = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).mapInArrow(cut, schema)
+    return pieces.withColumnRenamed("_id", id_col)

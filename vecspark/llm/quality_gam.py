@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vecspark.llm.shared import BROADCAST_BYTES, hide, show
 from vecspark.llm.textunits import released
 
-
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -170,13 +170,16 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 64, pair_bins: int = 12, pairs
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """A model from at most ``max_rows`` labelled documents (those with the least hash of their id).
 
-    The ids are few, so they are broadcast and the documents are read once with no shuffle of texts.
-    Labels other than 0 and 1, and null ids, are left out.
+    The ids are at most ``max_rows``, so they are broadcast (24 bytes each, checked against the limit) and the
+    documents are read once with no shuffle of texts. Labels other than 0 and 1, and null ids, are left out.
+    An id that is labelled twice counts twice if its labels differ, else once; so does a document that comes twice.
     """
-    chosen = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_k"), F.col(label_col).cast("int").alias("_y"))
+    if 24 * max_rows > BROADCAST_BYTES:
+        raise ValueError("max_rows is too large for a broadcast")
+    chosen = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_k"), F.col(label_col).cast("int").alias("_y")).distinct()
     chosen = chosen.orderBy(F.xxhash64("_k"), "_k", "_y").limit(max_rows)
     rows, names = with_features(docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), F.col("_i") == F.col("_k")), "_text")
-    sample = rows.select("_i", "_y", *names).toPandas().sort_values(["_i", "_y", *names])  # bounded by max_rows
+    sample = rows.select("_i", "_y", *names).distinct().limit(max_rows).toPandas().sort_values(["_i", "_y", *names])  # bounded by max_rows
     return fit(sample[names].to_numpy(np.float64), sample["_y"].to_numpy(np.float64))
 
 
@@ -184,18 +187,19 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     """All columns but the text, with ``score`` (0 to 1, higher: label 1 is likelier). No shuffle.
 
     Null text counts as empty; an empty text has a score of its own features. Columns may have any names
-    but the operator's (those that start with ``f_`` or ``_``).
+    (one named as the score is replaced). Repeated rows are scored alike. Empty table: empty result.
     """
-    others = [c for c in docs.columns if c != text_col]
-    rows, names = with_features(docs.select(*others, F.col(text_col).alias("_text")), "_text")
-    schema = T.StructType([*docs.select(*others).schema.fields, T.StructField(score_col, T.DoubleType())])
+    hidden, names = hide(docs)
+    others = {c: h for c, h in names.items() if c not in (text_col, score_col)}
+    rows, features = with_features(hidden.select(*others.values(), F.col(names[text_col]).alias("_text")), "_text")
+    schema = T.StructType([*hidden.select(*others.values()).schema.fields, T.StructField("_score", T.DoubleType())])
 
     def add(batches):
         for b in released(batches):
-            x = np.column_stack([b.column(len(others) + k).to_numpy(zero_copy_only=False) for k in range(len(names))])
+            x = np.column_stack([b.column(len(others) + k).to_numpy(zero_copy_only=False) for k in range(len(features))])
             yield pa.RecordBatch.from_arrays([*b.columns[: len(others)], pa.array(model.score(x))], names=schema.names)
 
-    return rows.select(*others, *names).mapInArrow(add, schema)
+    return show(rows.select(*others.values(), *features).mapInArrow(add, schema), others, F.col("_score").alias(score_col))
 
 
 def held_out(id_col: str) -> Column:
@@ -209,15 +213,14 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col:
     Repeated rows are scored alike. Without a usable label every score is 0.5. Empty table: empty result.
     """
     model = train(docs, labels.filter(~held_out(id_col)), id_col=id_col, text_col=text_col)
-    scored = score(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_txt")), model, text_col="_txt")
-    out = scored.withColumnRenamed("_id", id_col)
+    scored = score(docs.select(F.col(id_col), F.col(text_col)), model, text_col=text_col, score_col="_score")
+    out = scored.withColumnRenamed("_score", "score")
     return out.select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, with all their columns."""
+    """The rows of ``docs`` that the classifier accepts, with all their columns, whatever their names."""
     model = train(docs, labels.filter(~held_out(id_col)), id_col=id_col, text_col=text_col)
-    columns = [F.col(c).alias(f"_c{k}") for k, c in enumerate(docs.columns)]
-    scored = score(docs.select(*columns, F.col(text_col).alias("_txt")), model, text_col="_txt", score_col="_score")
-    kept = scored.filter(F.col("_score") >= threshold)
-    return kept.select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(docs.columns)])
+    hidden, names = hide(docs)
+    scored = score(hidden.withColumn("_txt", F.col(names[text_col])), model, text_col="_txt", score_col="_score")
+    return show(scored.filter(F.col("_score") >= threshold), names)

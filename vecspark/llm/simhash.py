@@ -5,22 +5,36 @@ ring. By the pigeonring principle some segment starts a chain whose first ``l``
 most ``l * max_bits / segments`` bits together, for every ``l``. The first two steps of that chain are a
 key to search by (the first segment equal, the next with one bit left out); the later steps prune
 candidates before the full Hamming check. No link is lost.
+
+Few bits mean nearly equal texts: sets of shingles of similarity 0.8 differ in some ten bits of 64, and keys
+for that many bits would be shared by a good part of all fingerprints. With ``least``, candidates meet by rare
+shingles instead, chains over the bits prune them, and the similarity itself is checked (``neardup``).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecspark.llm.shared import Workspace, small
+from vecspark.llm.shared import Workspace, hide, show, small
 from vecspark.llm.textunits import released
 
 BITS = 64
 SEED = 42
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Of 64 bits, those that are set in over half of the hashes (little-endian uint64)."""
+    seen = np.zeros(BITS, np.int64)
+    for k in range(0, len(hashes), 1 << 15):
+        bits = np.unpackbits(hashes[k : k + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        seen += bits.sum(0, dtype=np.int32)
+    on = np.packbits(2 * seen > len(hashes), bitorder="little")
+    return int(on.view("<u8")[0])
+
+
 def fingerprint(text: str, shingle: int) -> int:
     """The 64-bit fingerprint of a text; 0 if it has no word."""
     import xxhash
@@ -37,12 +51,7 @@ def fingerprint(text: str, shingle: int) -> int:
         begins = np.concatenate([[0], ends[:-1]])[: n - shingle + 1].tolist()
         stops = (ends[shingle - 1 :] - 1).tolist()
         hashes = np.fromiter((digest(joined[b:e], SEED) for b, e in zip(begins, stops, strict=True)), "<u8", len(begins))
-    seen = np.zeros(BITS, np.int64)
-    for k in range(0, len(hashes), 1 << 15):
-        bits = np.unpackbits(hashes[k : k + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        seen += bits.sum(0, dtype=np.int32)
-    on = np.packbits(2 * seen > len(hashes), bitorder="little")
-    return int(on.view("<u8")[0])
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame, shingle: int, text_col: str = "text") -> DataFrame:
@@ -77,6 +86,25 @@ def chain_masks(start: int, max_bits: int) -> list[tuple[int, int]]:
     return out
 
 
+def ring_near(x: np.ndarray, max_bits: int) -> np.ndarray:
+    """Which differences ``x`` (uint64) hold at most ``max_bits`` bits.
+
+    The eight bytes lie in a ring. Only differences with a chain of bytes that keeps its budget
+    (``l * max_bits / 8`` bits in ``l`` bytes) at every length up to seven come to the full check.
+    """
+    own = np.bitwise_count(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)).astype(np.int32)
+    at, total, good = np.arange(len(x)), own, 8 * own <= max_bits
+    for length in range(2, 8):
+        alive = good.any(1)
+        at, own, total, good = at[alive], own[alive], total[alive], good[alive]
+        total = total + np.roll(own, 1 - length, axis=1)
+        good = good & (8 * total <= length * max_bits)
+    at = at[good.any(1)]
+    out = np.zeros(len(x), bool)
+    out[at[np.bitwise_count(x[at]) <= max_bits]] = True
+    return out
+
+
 def keys_of(fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """``(key, number in fp)``: for each start of a chain, its first segment and the next with one bit left out.
 
@@ -224,9 +252,12 @@ def components(edges: DataFrame, work: Workspace, rounds: int = 100) -> DataFram
     raise RuntimeError(f"components have not settled in {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text", roots: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text", roots: bool = False, least: float | None = None) -> DataFrame:
     """``(id, fingerprint, component_id)`` of every document; with ``roots`` also what ``one_of_each`` asks for.
 
+    With ``least``, documents are linked whose sets of shingles have that Jaccard similarity or more, instead
+    of by ``max_bits``; the fingerprint is then that of the set.
+
     Words are runs of other than ASCII white space, A-Z lowered; shingles of ``shingle`` words with
     repeats (a shorter text is one shingle; without a word, or null, the fingerprint is zero). Documents
     whose fingerprints differ in at most ``max_bits`` bits are linked; ``component_id`` is the smallest id
@@ -237,6 +268,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, max_bits: int = 4, id_col
     ``_th``, the hash of the text, and ``_root``, the component: ids may be null or shared, so that an id
     need not name one component.
     """
+    if least is not None:
+        from vecspark.llm import neardup
+
+        held = neardup.near_duplicates(docs, shingle, least, id_col, text_col)
+        return held if roots else held.drop("_th", "_root")
     work = Workspace(docs.sparkSession, "simhash")
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     if roots:
@@ -247,31 +283,34 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, max_bits: int = 4, id_col
     rooted = nodes.join(found, nodes["_fp"] == found["node"], "left").select("_fp", "_least", F.coalesce("root", "_fp").alias("_root"))
     least = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
     named = work.stage(rooted.join(least, "_root").select(F.col("_fp").alias("_f"), "component_id", *["_root"] * roots), "components")
-    hexed = F.lpad(F.lower(F.hex("_fp")), 16, "0")
-    return held.join(named, F.col("_fp") == F.col("_f")).select(F.col("_id").alias(id_col), hexed.alias("fingerprint"), "component_id", *["_th", "_root"] * roots)
+    work.keep("fingerprints", "components")
+    return held.join(named, F.col("_fp") == F.col("_f")).select(F.col("_id").alias(id_col), hexed(F.col("_fp")).alias("fingerprint"), "component_id", *["_th", "_root"] * roots)
+
+
+def hexed(fingerprint: Column) -> Column:
+    return F.lpad(F.lower(F.hex(fingerprint)), 16, "0")
 
 
 def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each component: the one whose id is the component's; of rows that share that id, the least text.
 
     ``groups`` has ``_th`` and ``_root`` (``near_duplicates`` with ``roots``), which tell apart components
-    whose smallest ids are equal or null. Without them, an id is taken for one component.
+    whose smallest ids are equal or null. Columns of ``docs`` may have any names.
     """
+    df, names = hide(docs)
+    id_, text = F.col(names[id_col]), F.col(names[text_col])
     named = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id")))
-    if "_root" not in groups.columns:
-        rows = docs.select(F.col(id_col).alias("_d"), F.xxhash64(text_col).alias("_th"))
-        named = named.select(id_col).distinct().join(rows, F.col(id_col).eqNullSafe(F.col("_d"))).select(id_col, "_th", F.col(id_col).alias("_root"))
     work = Workspace(docs.sparkSession, "keep")
     keep = named.groupBy("_root", F.col(id_col).alias("_keep"), F.col("_th").alias("_kt")).agg(F.count("*").alias("_rows"))
     rows = keep.groupBy("_root").agg(F.sum("_rows").alias("_rows"), F.first("_keep").alias("_keep"), F.first("_kt").alias("_kt"))
     single = work.stage(rows.filter("_rows = 1"), "single")
-    own = docs[id_col].eqNullSafe(F.col("_keep")) & (F.xxhash64(docs[text_col]) == F.col("_kt"))
-    alone = docs.join(small(single, 40), own, "left_semi")
+    own = id_.eqNullSafe(F.col("_keep")) & (F.xxhash64(text) == F.col("_kt"))
+    alone = df.join(small(single, 40), own, "left_semi")
     more = rows.filter("_rows > 1").select(F.col("_root").alias("_r"))
     shared = work.stage(keep.join(more, F.col("_root").eqNullSafe(F.col("_r")), "left_semi").drop("_rows"), "shared")
     if shared.isEmpty():
-        return alone
+        return show(alone, names)
     # Only rows that share an id and a component are sorted by text.
-    first = Window.partitionBy("_root").orderBy(F.col(text_col))
-    several = docs.join(small(shared, 40), own).withColumn("_n", F.row_number().over(first)).filter("_n = 1")
-    return alone.unionByName(several.select(*docs.columns))
+    first = Window.partitionBy("_root").orderBy(text)
+    several = df.join(small(shared, 40), own).withColumn("_n", F.row_number().over(first)).filter("_n = 1")
+    return show(alone.unionByName(several.select(*df.columns)), names)
