@@ -7,6 +7,7 @@ from vecspark.operators import assign, clustering, evaluate, graph, knn, quantiz
 from vecspark.plans.index import PRESETS, Config, VectorIndex, preset
 from vecspark.sources import vecs
 from vecspark.streaming import dynamic
+from vecspark.streaming.dynamic_index import DynamicIndex
 
 DIM = 16
 
@@ -266,3 +267,108 @@ def test_closure_takes_every_centroid_within_the_factor(vectors, x):
         got = sorted((r["vec_id"], r["cid"]) for r in assign.closure(vectors, c, factor).collect())
         assert got == list(zip(*(v.tolist() for v in np.nonzero(d <= factor * d.min(1)[:, None])), strict=True))
     assert np.bincount([v for v, _ in got]).max() > 64
+
+
+def test_heads_of_several_trees(vectors, x):
+    one = clustering.HierarchicalClustering(ratio=0.05).cluster(vectors)
+    many = clustering.HierarchicalClustering(ratio=0.05, sample=300).cluster(vectors)
+    for heads in (one, many):
+        rows = sorted((r["cid"], r["centroid"]) for r in heads.collect())
+        assert [r[0] for r in rows] == list(range(len(rows))) and 4 <= len(rows) <= 80
+        assert all((np.abs(x - np.array(v, np.float32)).sum(1) == 0).any() for _, v in rows)
+
+
+def test_rules_of_the_neighbourhood_agree(vectors):
+    c = clustering.seeds(vectors, 30)
+    near = knn.nearest_centroids(vectors, c, 20)
+    lists = near.join(c.withColumnsRenamed({"cid": "_c", "centroid": "_v"}), F.col("cid") == F.col("_c")).groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("dist", "cid", F.col("_v").alias("v")))).alias("near"))
+    kept = lists.select("vec_id", F.explode(assign.kept_in_order(F.col("near"), lambda p, y: assign.nearer(p, y, 1.0, "L2"), 5)).alias("y"))
+    want = sorted((r["vec_id"], r["cid"]) for r in kept.select("vec_id", "y.cid").collect())
+    assert sorted((r["vec_id"], r["cid"]) for r in assign.rng_filtered(vectors, c, 5, 20).collect()) == want
+    found = {(r["vec_id"], r["cid"]) for r in assign.by_tree(vectors, c, 5, 20).collect()}
+    assert len(found & set(want)) > 0.8 * len(want)
+
+
+def test_matrix_of_centroids(vectors, x):
+    got = {(r["a"], r["b"]): r["dist"] for r in assign.centroid_distances(clustering.seeds(vectors, 9)).collect()}
+    assert len(got) == 81 and all(d == pytest.approx(((x[a].astype(float) - x[b]) ** 2).sum()) for (a, b), d in got.items())
+
+
+def test_flagship_truncates_and_finds(vectors, queries):
+    index = VectorIndex.build(vectors, preset("flagship", DIM, clusters=30, posting_limit=60))
+    assert index.postings.groupBy("cid").count().agg(F.max("count")).first()[0] <= 60
+    assert evaluate.mean_recall(knn.exact(vectors, queries, 10), index.search(queries, 10), 10).first()[0] >= 0.9
+    assert preset("flagship", DIM).posting_limit == "auto"
+
+
+def test_stored_postings_are_read_by_their_folders(spark, vectors, tmp_path):
+    index = VectorIndex.build(vectors, preset("disk_quantised", DIM, clusters=40, rounds=1, n_probe=2))
+    index.save(str(tmp_path / "index"))
+    again = VectorIndex.load(spark, str(tmp_path / "index"))
+    one = knn.as_queries(vectors, F.col("vec_id") == 3)
+    found = again.search(one, 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(cid_bucket" in plan or "cid_bucket#" in plan.split("PartitionFilters: [", 1)[1].split("]")[0]
+    assert by_query(found) == by_query(index.search(one, 5)) == by_query(again.preload().search(one, 5))
+
+
+def test_dynamic_index(spark, vectors, x, tmp_path):
+    base = vectors.filter("vec_id < 500")
+    index = DynamicIndex.create(spark, str(tmp_path / "d"), base, clustering.seeds(base, 6), target=50)
+    before = index.state
+    new = index.insert(vectors.filter("vec_id >= 500"), "vec_id")
+    assert sorted((r["vec_id"], r["embedding"]) for r in new.collect()) == [(i, x[i].tolist()) for i in range(500, 600)]
+    index.delete(vectors.filter("vec_id % 7 = 0"))
+    label = {r["vec_id"]: r["label"] for r in index.labels.collect()}
+    assert label == {i: (i >= 500) | (0 if i % 7 else 128) for i in range(600)}
+    live = np.array([i for i in range(600) if i % 7])
+    for _ in range(3):
+        again = DynamicIndex(spark, str(tmp_path / "d"))
+        q = knn.as_queries(vectors, F.col("vec_id") < 9)
+        got = by_query(again.search(q, 5, n_probe=10**4))
+        assert got == {i: live[r].tolist() for i, r in enumerate(brute(x[live], x[:9], 5, "L2"))}
+        rows = dynamic.live(again.postings, again.labels).collect()
+        assert sorted(r["vec_id"] for r in rows) == live.tolist()
+        split = index.maintain()
+    assert split == 0 or index.sizes().filter("need_split").count() >= 0
+    assert not {r["cid"] for r in index.postings.collect()} - {r["cid"] for r in index.centroids.collect()}
+    other = DynamicIndex(spark, str(tmp_path / "d"))
+    other.state = before
+    with pytest.raises(RuntimeError):
+        other.delete(vectors.filter("vec_id = 1"))
+    for k in range(18):  # labels are merged
+        index.delete(vectors.filter(F.col("vec_id") == k))
+    assert len(index.state["labels"]) <= 16 and dynamic.label_counts(index.labels).first()["n_deleted"] == 86 + 15
+
+
+def test_datasets(spark, vectors, tmp_path):
+    (tmp_path / "s").mkdir()
+    for name, n in (("a_base.fvecs", 50), ("a_query.fvecs", 9)):
+        vecs.write_vecs(vectors.filter(F.col("vec_id") < n), str(tmp_path / "s" / name))
+    vecs.write_vecs(spark.createDataFrame([(k, [k, 60 + k, 3]) for k in range(9)], "vec_id long, embedding array<int>"), str(tmp_path / "s" / "a_groundtruth.ivecs"), "ivecs")
+    base, q, truth = vecs.load_dataset(spark, "vecs", str(tmp_path / "s"), max_queries=4)
+    assert (base.count(), q.count(), truth.count()) == (50, 4, 12)
+    assert sorted(map(tuple, evaluate.within(truth, 50).select("qid", "vec_id", "rank").collect()))[:2] == [(0, 0, 1), (0, 3, 2)]
+    for bad in ("hdf5", "vecs"):
+        with pytest.raises(ValueError):
+            vecs.load_dataset(spark, bad, str(tmp_path))
+    assert set(evaluate.stage_seconds({"base": base, "query": q})) == {"base", "query"}
+
+
+def test_small_pieces(spark, vectors, x):
+    c = clustering.seeds(vectors, 20)
+    edges = graph.knn_graph(c, 5)
+    added = graph.with_neighbour(edges.filter("rank > 1"), edges.filter("rank = 1"), c, 5)
+    key = lambda df: sorted((r["src"], r["dst"], r["rank"]) for r in df.collect())
+    assert key(added) == key(graph.thinned(edges, c, 5))
+    sizes = dynamic.posting_sizes(assign.nearest(vectors, c), 30)
+    assert dynamic.size_totals(sizes).first().asDict() == {"n_postings": 20, "n_vectors": 600, "size_avg": 30.0}
+    m = np.abs(x[0]).astype(float)
+    cosine = lambda f: (lambda k: k @ m / np.sqrt(k @ k))(np.minimum(np.floor(m * f + 1e-5), 7) + 0.5)
+    assert cosine(quantize.best_rescale(m, 3)) >= max(cosine(f) for f in np.linspace(0.3, 1, 50) * 7 / m.max()) - 1e-9
+    w = tree.even_weight(x[:300].astype(float), 8)
+    assert sorted(n.centre for n in tree.build_bkt(x[:300].astype(float), 8, 4, weight=None)[1:]) == list(range(300)) and w > 0
+    row = vectors.limit(1).select(quantize.delta(F.transform("embedding", lambda v: (v > 0).cast("int")), F.col("embedding"), 1).alias("d"), "embedding").first()
+    v = np.array(row["embedding"], float)
+    s = (v > 0) - 0.5
+    assert row["d"] == pytest.approx(np.linalg.norm(v) / np.linalg.norm(s) * (v @ s) / (np.linalg.norm(v) * np.linalg.norm(s)))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecspark.functions.metrics import norm
@@ -14,6 +16,22 @@ def recall(truth: DataFrame, found: DataFrame, k: int) -> DataFrame:
     return truth.select("qid").distinct().join(hits, "qid", "left").select("qid", (F.coalesce("n", F.lit(0)) / k).alias("recall"))
 
 
+def within(truth: DataFrame, rows: int) -> DataFrame:
+    """The truth about a base table that was cut to its first ``rows`` vectors, ranked anew."""
+    w = Window.partitionBy("qid").orderBy("rank")
+    return truth.filter(F.col("vec_id") < rows).withColumn("rank", F.row_number().over(w))
+
+
+def stage_seconds(stages: dict[str, DataFrame]) -> dict[str, float]:
+    """Seconds that each plan takes by itself, run to its end without a result; for plans that grow by a stage each."""
+    out = {}
+    for name, df in stages.items():
+        began = time.perf_counter()
+        df.write.format("noop").mode("overwrite").save()
+        out[name] = time.perf_counter() - began
+    return out
+
+
 def mean_recall(truth: DataFrame, found: DataFrame, k: int) -> DataFrame:
     return recall(truth, found, k).agg(F.avg("recall").alias("recall"))
 

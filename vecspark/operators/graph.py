@@ -21,7 +21,7 @@ def knn_graph(centroids: DataFrame, k: int, metric: str = "L2") -> DataFrame:
 
 def thinned(edges: DataFrame, centroids: DataFrame, most: int, factor: float = 1.0, metric: str = "L2") -> DataFrame:
     """Edges in order of distance; one is dropped if a kept neighbour is nearer to it than the source is."""
-    c = F.broadcast(centroids.select(F.col("cid").alias("_c"), F.col("centroid").alias("_v")))
+    c = centroids.select(F.col("cid").alias("_c"), F.col("centroid").alias("_v"))
     lists = edges.join(c, F.col("dst") == F.col("_c")).groupBy("src").agg(F.array_sort(F.collect_list(F.struct("dist", "dst", F.col("_v").alias("v")))).alias("near"))
     rule = lambda p, x: nearer(p, x, factor, metric)
     kept = lists.select("src", F.posexplode(kept_in_order(F.col("near"), rule, most)).alias("pos", "x"))

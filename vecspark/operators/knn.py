@@ -18,6 +18,17 @@ from vecspark.functions.metrics import check_metric, distance, numpy_distance, n
 #: Bytes of a matrix that is sent to every task.
 BLOCK_BYTES = 64 << 20
 
+#: Bytes of a table up to which it is broadcast, once it was counted.
+BROADCAST_BYTES = 32 << 20
+
+#: Distances that a task has at hand at a time (32 MB).
+VALUES = 1 << 22
+
+
+def rows_at_a_time(others: int) -> int:
+    """Rows whose distances to so many others are computed together."""
+    return max(1, min(8192, VALUES // max(1, others)))
+
 
 def matrix_blocks(side: DataFrame, id_col: str, vector_col: str, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """``(ids, matrix)`` of a table in blocks of bounded bytes, streamed to the driver one after another."""
@@ -52,14 +63,17 @@ def _margin(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(np.isfinite(off), off, np.inf)
 
 
-def _first(d: np.ndarray, q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, pairs, finite: bool, within: float | None = None) -> tuple[np.ndarray, ...]:
+def _first(d: np.ndarray, q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, pairs, finite: bool, within: float | None = None, cost: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """``(row of q, row of x, distance, rank)`` of the ``k`` first by (distance, id) for each row of ``q``.
 
     ``d``: distances by a matrix product, which only choose candidates: all rows up to the k-th and the
     rounding beyond it, however many tie there. With ``within``, all rows up to that multiple of the
-    nearest distance (and the rounding) instead. ``finite`` leaves out rows of no finite distance.
+    nearest distance (and the rounding) instead. ``finite`` leaves out rows of no finite distance. ``cost`` of
+    each row of ``x`` counts with its distance in the order.
     """
     d[~np.isfinite(d)] = np.inf
+    if cost is not None:
+        d = d + cost
     off = _margin(q, x)
     if within is None:
         k = min(k, len(x))
@@ -71,7 +85,7 @@ def _first(d: np.ndarray, q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int,
         keep &= np.isfinite(d)
     at, near = np.nonzero(keep)
     dist = np.concatenate([np.zeros(0), *(pairs(q[at[s : s + 65536]], x[near[s : s + 65536]]) for s in range(0, len(at), 65536))])
-    order = np.lexsort((ids[near], dist, at))
+    order = np.lexsort((ids[near], dist if cost is None else dist + cost[near], at))
     at, near, dist = at[order], near[order], dist[order]
     rank = np.arange(1, len(at) + 1) - np.searchsorted(at, at)
     return tuple(v[rank <= k] for v in (at, near, dist, rank))
@@ -103,8 +117,9 @@ def _against(vectors: DataFrame, qids: np.ndarray, q: np.ndarray, k: int, metric
             ids, x = b.column(0).to_numpy(), batch_matrix(b.column(1))
             if not len(ids):
                 continue
-            for s in range(0, len(ids), 4096):
-                own, part = x[s : s + 4096], ids[s : s + 4096]
+            step = min(4096, rows_at_a_time(len(q)))
+            for s in range(0, len(ids), step):
+                own, part = x[s : s + step], ids[s : s + step]
                 d = many(q, own)
                 if exclude_self:
                     d[qids[:, None] == part[None, :]] = np.inf
@@ -115,8 +130,10 @@ def _against(vectors: DataFrame, qids: np.ndarray, q: np.ndarray, k: int, metric
 
 
 def exact_columns(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "L2") -> DataFrame:
-    """As ``exact``, by expressions only: for query tables that are small beside the vectors."""
+    """As ``exact``, by expressions only; queries beyond 32 MB, as counted, go the way of ``exact``."""
     q = queries.select("qid", F.col("embedding").alias("q"))
+    if (q.agg(F.sum(8 * F.size("q") + 16)).first()[0] or 0) > BROADCAST_BYTES:
+        return exact(vectors, queries, k, metric)
     pairs = vectors.crossJoin(F.broadcast(q)).select("qid", "vec_id", distance(metric, F.col("q"), F.col("embedding")).alias("dist"))
     return ranked(pairs, "qid", [F.col("dist"), F.col("vec_id")], k).select("qid", "vec_id", "rank", "dist")
 
@@ -135,8 +152,9 @@ def nearest_centroids(vectors: DataFrame, centroids: DataFrame, r: int, metric:
         def run(batches, cids=cids, c=c):
             for b in batches:
                 x = batch_matrix(b.column(1))
-                for s in range(0, len(x), 8192):
-                    own = x[s : s + 8192]
+                step = rows_at_a_time(len(c))
+                for s in range(0, len(x), step):
+                    own = x[s : s + step]
                     at, near, d, rank = _first(many(own, c), own, c, cids, r, pairs, finite=False, within=within)
                     ids = b.column(0).take(pa.array(at + s))
                     yield pa.RecordBatch.from_arrays([ids, pa.array(cids[near].astype(np.int32)), pa.array(d), pa.array(rank.astype(np.int32))], names=[id_col, "cid", "dist", "rank"])

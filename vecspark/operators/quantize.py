@@ -91,23 +91,26 @@ def estimate(bits: int, q: Column, metric: str = "L2") -> Column:
     return estimate_one_bit(q, metric) if bits == 1 else estimate_multi_bit(q, metric)
 
 
-def rotated(rows: DataFrame, queries: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """``(qid, vec_id, rank, dist)`` by one-bit estimates of randomly rotated residuals (L2)."""
-    from vecspark.operators.knn import ranked
+def rotated(rows: DataFrame, queries: DataFrame, k: int, seed: int = 0, turn: np.ndarray | None = None) -> DataFrame:
+    """``(qid, vec_id, rank, dist)`` by one-bit estimates of rotated residuals (L2); the rotation is random unless given."""
+    from vecspark.operators.knn import BROADCAST_BYTES, ranked
 
     first = rows.select("embedding").first()
     if first is None:
         return rows.sparkSession.createDataFrame([], "qid long, vec_id long, rank int, dist double")
     dim = len(first[0])
-    turn, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
-    turn = turn * np.sign(np.diag(r))
+    if turn is None:
+        turn, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
+        turn = turn * np.sign(np.diag(r))
 
     @F.pandas_udf("array<double>")
     def spin(v: pd.Series) -> pd.Series:
         return pd.Series(list(np.array(v.tolist(), np.float64).reshape(-1, dim) @ turn)) if len(v) else pd.Series([], dtype=object)
 
     codes = one_bit(rows.withColumn("embedding", spin("embedding")), "L2", debias=True)
-    q = F.broadcast(queries.select("qid", spin("embedding").alias("q")))
+    q = queries.select("qid", spin("embedding").alias("q"))
+    if (queries.agg(F.sum(8 * F.size("embedding") + 16)).first()[0] or 0) <= BROADCAST_BYTES:
+        q = F.broadcast(q)
     est = codes.crossJoin(q).select("qid", "vec_id", estimate_one_bit(F.col("q")).alias("dist"))
     return ranked(est.groupBy("qid", "vec_id").agg(F.min("dist").alias("dist")), "qid", [F.col("dist"), F.col("vec_id")], k).select("qid", "vec_id", "rank", "dist")
 

@@ -18,7 +18,10 @@ class Node:
 
 
 def even_kmeans(x: np.ndarray, k: int, metric: str = "L2", weight: float = 0.0, rounds: int = 20) -> np.ndarray:
-    """Labels by k-means from evenly spaced rows, each distance raised by ``weight`` times the size in the round before."""
+    """Labels by k-means from evenly spaced rows, each distance raised by ``weight`` times the size in the round before.
+
+    The last assignment has no weight; labels without rows are left out by callers.
+    """
     far = numpy_distance(metric)
     c, size = x[np.linspace(0, len(x) - 1, k).astype(int)].copy(), np.zeros(k)
     label = np.zeros(len(x), int)
@@ -29,17 +32,30 @@ def even_kmeans(x: np.ndarray, k: int, metric: str = "L2", weight: float = 0.0,
         if (new == label).all():
             break
         label = new
-    return label
+    return far(x, c).argmin(1) if weight else label
+
+
+def even_weight(x: np.ndarray, k: int, metric: str = "L2", weights: tuple[float, ...] = (0.001, 0.01, 0.1, 1.0, 10.0, 100.0, 1000.0)) -> float:
+    """The weight (a number over the rows) whose clusters are the most even, by deviation over mean of their sizes."""
+
+    def unevenness(w: float) -> float:
+        size = np.bincount(even_kmeans(x, k, metric, w / len(x)))
+        size = size[size > 0]
+        return float(size.std() / size.mean())
+
+    return min(weights, key=lambda w: (unevenness(w), w)) / len(x)
 
 
-def build_bkt(x: np.ndarray, kmeans_k: int = 32, leaf_size: int = 8, metric: str = "L2", weight: float = 0.0) -> list[Node]:
-    """A balanced k-means tree; every row is the centre of exactly one node.
+def build_bkt(x: np.ndarray, kmeans_k: int = 32, leaf_size: int = 8, metric: str = "L2", weight: float | None = 0.0) -> list[Node]:
+    """A balanced k-means tree; every row is the centre of exactly one node. Without a weight, the root's choice of one holds.
 
     The member nearest to its cluster's mean becomes the child's centre, the others go below it.
     """
     nodes = [Node(-1)]
     stack = [(0, np.arange(len(x)))]
     far = numpy_distance(metric)
+    if weight is None:
+        weight = even_weight(x, min(kmeans_k, len(x)), metric) if len(x) else 0.0
     while stack:
         at, rows = stack.pop()
         if len(rows) <= leaf_size:

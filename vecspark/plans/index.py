@@ -13,9 +13,17 @@ from vecspark.functions.params import automatic_posting_limit, cluster_count
 from vecspark.operators import assign, clustering, evaluate, quantize
 from vecspark.plans import search as plan
 
-#: Postings are stored in so many folders, sorted by posting within: a probe reads few row groups of few files.
+#: Postings are stored in so many folders, sorted by posting within; a search reads the folders of its probes.
 BUCKETS = 64
 
+#: Probed postings up to which row groups are chosen by them, too.
+CHOSEN = 1000
+
+
+def bucketed(df: DataFrame) -> DataFrame:
+    """Rows with ``cid_bucket``, dealt by it and sorted by posting, as they are stored."""
+    return df.withColumn("cid_bucket", F.pmod("cid", F.lit(BUCKETS)).cast("int")).repartition("cid_bucket").sortWithinPartitions("cid", "vec_id")
+
 
 @dataclass(frozen=True)
 class Config:
@@ -28,7 +36,8 @@ class Config:
     assignment: str = "rng"  # rng, top_r, closure
     closure_factor: float = 1.5
     rng_factor: float = 1.0
-    posting_limit: int | None = None
+    posting_limit: int | str | None = None  # "auto": by the bytes of a vector and of a page
+    balance: float | str | None = None  # weight of sizes in balanced k-means: unset, it adapts
     bits: int | None = None  # 1, 2, 4, 8, or none for no codes
     rerank: bool = True
     pruned: bool = False
@@ -44,10 +53,10 @@ PRESETS: dict[str, dict] = {
     "memory": {"target_posting_size": 10000, "replica_count": 2, "assignment": "top_r", "rounds": 50, "n_probe": 20, "max_check": None},
     "disk": {"target_posting_size": 10000, "assignment": "closure", "rounds": 50, "n_probe": 20, "max_check": None, "pruned": True},
     "disk_quantised": {"target_posting_size": 10000, "replica_count": 8, "assignment": "top_r", "bits": 4, "rounds": 50, "n_probe": 64, "max_check": 4096},
-    "flagship": {"clustering": "hierarchical", "replica_count": 8, "assignment": "rng", "bits": 4, "n_probe": 32, "max_check": 4096, "max_dist_ratio": 10000.0},
-    "exact": {"clustering": "balanced", "replica_count": 1, "assignment": "top_r", "n_probe": 20, "max_check": None, "rounds": 100},
-    "quantised": {"clustering": "balanced", "replica_count": 1, "assignment": "top_r", "bits": 4, "rerank": False, "n_probe": 64, "max_check": 4096, "rounds": 100},
-    "quantised_replicas": {"clustering": "balanced", "replica_count": 8, "assignment": "top_r", "bits": 4, "n_probe": 64, "max_check": 4096, "rounds": 50},
+    "flagship": {"clustering": "hierarchical", "replica_count": 8, "assignment": "rng", "posting_limit": "auto", "bits": 4, "n_probe": 32, "max_check": 4096, "max_dist_ratio": 10000.0},
+    "exact": {"clustering": "balanced", "balance": "share", "replica_count": 1, "assignment": "top_r", "n_probe": 20, "max_check": None, "rounds": 100},
+    "quantised": {"clustering": "balanced", "balance": "share", "replica_count": 1, "assignment": "top_r", "bits": 4, "rerank": False, "n_probe": 64, "max_check": 4096, "rounds": 100},
+    "quantised_replicas": {"clustering": "balanced", "balance": "share", "replica_count": 8, "assignment": "top_r", "bits": 4, "n_probe": 64, "max_check": 4096, "rounds": 50},
 }
 
 
@@ -73,7 +82,7 @@ class VectorIndex:
             if c.clustering == "hierarchical":
                 centroids = clustering.HierarchicalClustering(c.centroid_ratio, metric=c.metric).cluster(vectors, c.clusters)
             elif c.clustering == "balanced":
-                centroids = clustering.balanced(vectors, k, c.rounds, c.metric)
+                centroids = clustering.balanced(vectors, k, c.rounds, c.metric, c.balance)
             else:
                 start = clustering.seeds(vectors, k)
                 centroids = start if c.clustering == "seeds" else clustering.lloyd(vectors, start, c.rounds, c.metric)
@@ -84,8 +93,9 @@ class VectorIndex:
         else:
             postings = assign.top_r(vectors, centroids, c.replica_count, c.metric)
         postings = postings.select("cid", "vec_id", "dist")
-        if c.posting_limit:
-            postings = assign.truncated(postings, c.posting_limit).select("cid", "vec_id", "dist")
+        limit = automatic_posting_limit(c.dim, c.bits is not None) if c.posting_limit == "auto" else c.posting_limit
+        if limit:
+            postings = assign.truncated(postings, limit).select("cid", "vec_id", "dist")
         codes = None
         if c.bits:
             codes = quantize.encode(postings.join(vectors, "vec_id").select("cid", "vec_id", "embedding"), c.bits, c.metric)
@@ -93,7 +103,7 @@ class VectorIndex:
 
     def save(self, path: str) -> None:
         """Parquet tables and the settings as JSON."""
-        stored = lambda df, name: df.withColumn("cid_bucket", F.pmod("cid", F.lit(BUCKETS))).repartition("cid_bucket").sortWithinPartitions("cid", "vec_id").write.mode("overwrite").partitionBy("cid_bucket").parquet(f"{path}/{name}")
+        stored = lambda df, name: bucketed(df.drop("cid_bucket")).write.mode("overwrite").partitionBy("cid_bucket").parquet(f"{path}/{name}")
         self.centroids.coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
         stored(self.postings, "postings")
         if self.codes is not None:
@@ -105,9 +115,22 @@ class VectorIndex:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> VectorIndex:
         config = Config(**json.loads(spark.read.text(f"{path}/config").first()[0]))
-        read = lambda name: spark.read.parquet(f"{path}/{name}").drop("cid_bucket")
+        read = lambda name: spark.read.parquet(f"{path}/{name}")
         return cls(config, read("vectors"), read("centroids"), read("postings"), read("codes") if config.bits else None)
 
+    def preload(self) -> VectorIndex:
+        """The index with its postings and codes held by the executors after the first search."""
+        codes = self.codes.persist() if self.codes is not None else None
+        return VectorIndex(self.config, self.vectors, self.centroids, self.postings.persist(), codes)
+
+    def _probed(self, table: DataFrame, probes: DataFrame) -> DataFrame:
+        """Of a stored table, the folders (and row groups, if they are few) of the probed postings."""
+        if "cid_bucket" not in table.columns:
+            return table
+        cids = [r[0] for r in probes.select("cid").distinct().collect()]  # at most one for each centroid
+        table = table.filter(F.col("cid_bucket").isin(sorted({c % BUCKETS for c in cids})))
+        return (table.filter(F.col("cid").isin(cids)) if len(cids) <= CHOSEN else table).drop("cid_bucket")
+
     def stats(self) -> DataFrame:
         """Vectors, clusters, sizes of postings, replication and bytes of centroids, in one row."""
         n = self.vectors.agg(F.count("*").alias("n_vectors"))
@@ -125,9 +148,9 @@ class VectorIndex:
         probes = plan.probe(queries, self.centroids, n_probe or c.n_probe, c.metric, max_dist_ratio or c.max_dist_ratio)
         limit = lambda df: assign.first_come(df, per_posting).drop("pos") if per_posting else df
         if c.bits:
-            found = plan.scored_by_codes(probes, limit(self.codes), c.bits, c.metric)
+            found = plan.scored_by_codes(probes, limit(self._probed(self.codes, probes)), c.bits, c.metric)
         else:
-            found = plan.scored(probes, limit(self.postings), self.vectors, c.metric)
+            found = plan.scored(probes, limit(self._probed(self.postings, probes)), self.vectors, c.metric)
         if deleted is not None:
             found = found.join(deleted.select("vec_id"), "vec_id", "left_anti")
         if early_stop_postings:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,9 +14,10 @@ from vecspark.functions import metrics as M
 from vecspark.functions import params
 from vecspark.operators import assign, clustering, evaluate, graph, knn, quantize, tree
 from vecspark.plans import search as plan
-from vecspark.plans.index import Config, VectorIndex
+from vecspark.plans.index import Config, VectorIndex, preset
 from vecspark.sources import vecs
 from vecspark.streaming import dynamic
+from vecspark.streaming.dynamic_index import DynamicIndex
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -102,6 +107,18 @@ def knn_cosine(spark, d):
     return dist6(knn.exact_columns(v, queries_of(v), TOP, "Cosine"))
 
 
+#: Every vector is one of the first forty, so that all distances tie many times.
+COPIES = "e AS (SELECT a.vec_id, b.embedding::DOUBLE[] AS v FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id % 40)"
+
+
+@query(_knn_sql(l2("q", "v")).replace(E_, COPIES))
+def knn_ties(spark, d):
+    v = table(spark, d)
+    of = v.select(F.col("vec_id").alias("of"), "embedding")
+    copies = v.select("vec_id", (F.col("vec_id") % 40).alias("of")).join(of, "of").select("vec_id", "embedding")
+    return dist6(knn.exact(copies, queries_of(copies), TOP, "L2"))
+
+
 @query(f"WITH {E_}, n AS (SELECT sqrt({dot('v', 'v')}) AS n FROM e) SELECT count(*) AS n_vectors, {r6('min(n)')} AS norm_min, {r6('max(n)')} AS norm_max, {r6('avg(n)')} AS norm_avg, bool_and(abs(n - 1) <= 0.0001) AS all_unit FROM n")
 def vector_norm_profile(spark, d):
     p = evaluate.norm_profile(table(spark, d))
@@ -146,6 +163,12 @@ def assign_closure(spark, d):
     return dist6(assign.closure(v, seeds(v), 1.15).select("vec_id", "cid", "rank", "dist"))
 
 
+@query(f"WITH {NEAR} SELECT vec_id, cid, rank, {r6('dist')} AS dist FROM ({CLOSE.replace('1.15', '9')})".replace(f"vec_id < {K})", "vec_id < 100)"))
+def assign_closure_wide(spark, d):
+    v = table(spark, d)
+    return dist6(assign.closure(v, seeds(v, 100), 9.0).select("vec_id", "cid", "rank", "dist"))
+
+
 RNG = f"lists AS (SELECT vec_id, list({{'dist': dist, 'id': cid, 'v': c}} ORDER BY dist, cid) AS l FROM (SELECT near.*, c.c FROM near JOIN c USING (cid)) GROUP BY vec_id), kept AS (SELECT vec_id, unnest({fold(8)}) AS x FROM lists), post AS (SELECT vec_id, x.id AS cid, x.dist AS dist FROM kept)"
 
 
@@ -199,13 +222,15 @@ def cluster_balance(spark, d):
 # Clustering
 
 
-def _rounds(n: int, penalty: bool = False) -> str:
+def _rounds(n: int, penalty: str | None = None) -> str:
     """CTEs of ``n`` rounds: assignments ``a1…``, centroids ``c1…`` (``c0`` are the seeds)."""
     out = [E_, f"c0 AS (SELECT vec_id::INT AS cid, v AS c, 0::DOUBLE AS cost FROM e WHERE vec_id < {K})"]
     for i in range(1, n + 1):
         out.append(f"a{i} AS (SELECT vec_id, any_value(v) AS v, arg_min(cid, (dist + cost, cid)) AS cid, arg_min(dist, (dist + cost, cid)) AS dist FROM (SELECT vec_id, v, cid, cost, {l2('v', 'c')} AS dist FROM e, c{i - 1}) GROUP BY vec_id)")
         cost = "0::DOUBLE"
-        if penalty:
+        if penalty == "share":
+            cost = f"coalesce((SELECT count(*) FROM a{i} WHERE a{i}.cid = c{i - 1}.cid), 0) / (SELECT count(*) FROM e)"
+        elif penalty:
             out.append(f"s{i} AS (SELECT cid, count(*) AS n, max(dist) AS far, avg(dist) AS mean FROM a{i} GROUP BY cid)")
             out.append(f"w{i} AS (SELECT greatest(0, (far - mean) / (SELECT count(*) FROM e)) AS w FROM s{i} ORDER BY n DESC, cid LIMIT 1)")
             cost = f"coalesce((SELECT n FROM s{i} WHERE s{i}.cid = c{i - 1}.cid), 0) * (SELECT w FROM w{i})"
@@ -227,7 +252,13 @@ def kmeans_lloyd3(spark, d):
     return _components(clustering.lloyd(v, seeds(v), 3, tolerance=0))
 
 
-@query(f"{_rounds(3, True)} {CENTRES}")
+@query(f"{_rounds(3, 'share')} {CENTRES}")
+def kmeans_share3(spark, d):
+    v = table(spark, d)
+    return _components(clustering.lloyd(v, seeds(v), 3, tolerance=0, penalty="share"))
+
+
+@query(f"{_rounds(3, 'adaptive')} {CENTRES}")
 def kmeans_balanced3(spark, d):
     v = table(spark, d)
     return _components(clustering.lloyd(v, seeds(v), 3, tolerance=0, penalty="adaptive"))
@@ -416,16 +447,39 @@ def ann_quantized_rerank(spark, d):
     return dist6(index.search(q, TOP, max_check=60))
 
 
+#: Postings thinned by the neighbourhood rule, the nearest twenty of each.
+THIN = f"{RNG}, p AS (SELECT cid, vec_id, v FROM (SELECT post.cid, vec_id, v, row_number() OVER (PARTITION BY post.cid ORDER BY dist, vec_id) AS pos FROM post JOIN e USING (vec_id)) WHERE pos <= 20)"
+
+
+@query(f"""WITH {_bits_sql(4).replace('p AS (SELECT cid, vec_id, v FROM near WHERE rank = 1)', THIN)}, {PROBES}, {EST4.replace('qid, q, vec_id', 'q.qid, q, vec_id')}, {IN_PROBES},
+o AS (SELECT *, row_number() OVER (PARTITION BY qid, c_rank ORDER BY est, vec_id) AS l FROM cand),
+once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, vec_id ORDER BY c_rank, l) AS w FROM o) WHERE w = 1),
+capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY c_rank, l) AS n FROM once) WHERE n <= 60),
+found AS (SELECT qid, vec_id, {l2('q', 'v')} AS dist FROM capped JOIN e USING (vec_id)) {FINAL}""")
+def ann_flagship(spark, d):
+    v = table(spark, d)
+    index = VectorIndex.build(v, preset("flagship", 64, posting_limit=20, n_probe=4), seeds(v))
+    return dist6(index.search(queries_of(v), TOP, max_check=60))
+
+
 @query(f"WITH {ONE} SELECT count(*) AS n_vectors, count(*) * 256 AS vector_bytes, count(*) * 68 AS code_bytes FROM f")
 def code_storage(spark, d):
     codes = quantize.one_bit(_postings(spark, d))
     return evaluate.storage(codes, 64).select((F.col("vector_bytes") / 256).cast("long").alias("n_vectors"), "vector_bytes", "code_bytes")
 
 
-@query()
+def _mirror(v: str) -> str:
+    """A vector of 64 components, mirrored at the plane across the diagonal."""
+    return f"list_transform({v}, lambda x: x - list_sum({v}) / 32)"
+
+
+_MIRRORED = ONE.replace("p AS (SELECT cid, vec_id, v FROM near WHERE rank = 1)", f"p AS (SELECT 0 AS cid, vec_id, {_mirror('v')} AS v FROM e)").replace("2 * l2 * ics / irs END + l2 AS f_add", "0 END + l2 AS f_add")
+
+
+@query(f"WITH {_MIRRORED}, {Q_.replace('v AS q', _mirror('v') + ' AS q')}, {EST}, found AS (SELECT qid, vec_id, est AS dist FROM est) {FINAL}")
 def rabitq_rotated(spark, d):
     v = table(spark, d)
-    return quantize.rotated(v.withColumn("cid", F.lit(0)), queries_of(v), TOP)
+    return dist6(quantize.rotated(v.withColumn("cid", F.lit(0)), queries_of(v), TOP, turn=np.eye(64) - 1 / 32))
 
 
 # Graphs and trees over the seeds
@@ -457,9 +511,13 @@ def _batch(spark, d, search) -> DataFrame:
         for b in batches:
             for qid, e in zip(b["qid"], b["embedding"], strict=True):
                 rows, dist = run(np.asarray(e, np.float64))
-                yield pd.DataFrame({"qid": qid, "vec_id": rows, "rank": np.arange(1, len(rows) + 1, dtype=np.int32), "dist": dist})
+                yield pd.DataFrame({"qid": qid, "cid": rows, "rank": np.arange(1, len(rows) + 1, dtype=np.int32), "dist": dist})
+
+    return dist6(queries_of(v).mapInPandas(one, "qid long, cid long, rank int, dist double"))
 
-    return queries_of(v).mapInPandas(one, "qid long, vec_id long, rank int, dist double")
+
+#: What a walk that ends nowhere early finds among the seeds.
+_ALL_SEEDS = f"WITH {E_}, {Q_}, found AS (SELECT qid, vec_id AS cid, {l2('q', 'v')} AS dist FROM q, e WHERE vec_id < 256) SELECT qid, cid, rank, {r6('dist')} AS dist FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, cid)::INT AS rank FROM found) WHERE rank <= {TOP}"
 
 
 @query()
@@ -472,21 +530,21 @@ def graph_greedy_search(spark, d):
     return _batch(spark, d, make)
 
 
-@query()
+@query(_ALL_SEEDS)
 def kdtree_search(spark, d):
     def make(spark, v, x):
         nodes = tree.build_kdt(x)
-        return lambda q: tree.search_kdt(nodes, x, q, TOP, candidates=128)
+        return lambda q: tree.search_kdt(nodes, x, q, TOP, candidates=len(x))
 
     return _batch(spark, d, make)
 
 
-@query()
+@query(_ALL_SEEDS)
 def bkt_rng_search(spark, d):
     def make(spark, v, x):
         nodes, c = tree.build_bkt(x), seeds(v, 256)
         g = graph.adjacency(graph.thinned(graph.knn_graph(c, 32), c, 16), len(x))
-        return lambda q: tree.search_bkt(nodes, x, q, TOP, graph=g)
+        return lambda q: tree.search_bkt(nodes, x, q, TOP, graph=g, leaves=len(x), max_check=len(x))
 
     return _batch(spark, d, make)
 
@@ -505,11 +563,14 @@ def recall_at_k(spark, d):
     return evaluate.recall(truth, index.search(q, TOP, max_check=60), TOP).withColumn("recall", M.rounded(F.col("recall")))
 
 
-@query()
+_SWEEP = ((4, 64), (8, 256), (16, 4096))
+
+
+@query(" UNION ALL ".join(f"SELECT {p} AS n_probe, {m} AS max_check, {r6('avg(recall)')} AS recall FROM ({_RECALL.replace('c_rank <= 4', f'c_rank <= {p}').replace('checked <= 60', f'checked <= {m}')} SELECT qid, count(got.vec_id) / {TOP} AS recall FROM truth LEFT JOIN got USING (qid, vec_id) GROUP BY qid)" for p, m in _SWEEP))
 def recall_sweep(spark, d):
     index, q = _index(spark, d)
     truth = knn.exact(table(spark, d), q, TOP)
-    parts = [evaluate.mean_recall(truth, index.search(q, TOP, n_probe=p, max_check=m), TOP).select(F.lit(p).alias("n_probe"), F.lit(m).alias("max_check"), "recall") for p, m in ((4, 64), (8, 256), (16, 4096))]
+    parts = [evaluate.mean_recall(truth, index.search(q, TOP, n_probe=p, max_check=m), TOP).select(F.lit(p).alias("n_probe"), F.lit(m).alias("max_check"), M.rounded(F.col("recall")).alias("recall")) for p, m in _SWEEP]
     return parts[0].union(parts[1]).union(parts[2])
 
 
@@ -608,14 +669,43 @@ def dyn_reassign(spark, d):
     return dynamic.reassign(now, new.join(old, "old"), state, v, 24)
 
 
+_ARRIVED = f"""e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 5 <> 0
+  UNION ALL SELECT (SELECT max(vec_id) FROM embeddings) + vec_id - 99, embedding::DOUBLE[] FROM embeddings WHERE vec_id BETWEEN 100 AND 199),
+c AS (SELECT vec_id::INT AS cid, embedding::DOUBLE[] AS c FROM embeddings WHERE vec_id < {K})"""
+_REASSIGNED = ORACLE_SQL["dyn_reassign"].replace(C_, _ARRIVED).replace("(SELECT count(*) FROM e) // 32", "(SELECT count(*) FROM embeddings) // 32").replace("SELECT * FROM one UNION SELECT * FROM two", ", moves AS (SELECT * FROM one UNION SELECT * FROM two)")
+
+@query(f"""{_REASSIGNED},
+held AS (SELECT coalesce(moves.to_cid, state.cid) AS cid, state.vec_id, v FROM state LEFT JOIN moves ON moves.vec_id = state.vec_id),
+q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < {NQ}),
+probes AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY c_dist, cid)::INT AS c_rank FROM (SELECT qid, q, cid, {l2('q', 'c')} AS c_dist FROM q, allc)),
+found AS (SELECT DISTINCT qid, vec_id, {l2('q', 'v')} AS dist FROM probes JOIN held USING (cid) WHERE c_rank <= 4) {FINAL}""")
+def dyn_cycle(spark, d):
+    """Inserts, deletes, splits with reassignment, and a search, over the stored tables of one index."""
+    v = table(spark, d)
+    index = DynamicIndex.create(spark, f"{shared_folder(spark)}/dynamic-{uuid.uuid4().hex}", v, seeds(v), target=v.count() // 32, reassign_k=24)
+    index.insert(v.filter(F.col("vec_id").between(100, 199)), order="vec_id")
+    index.delete(v.filter(F.col("vec_id") % 5 == 0))
+    index.maintain()
+    return dist6(index.search(queries_of(v), TOP, n_probe=4))
+
+
 # Sources
 
 
-@query()
-def fvecs_roundtrip(spark, d):
-    import tempfile
+def shared_folder(spark) -> str:
+    """The folder that the session names for tables that all tasks see; a local one only where all tasks are on this machine."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+    return (path or tempfile.mkdtemp()).rstrip("/")
 
-    path = f"{tempfile.mkdtemp()}/base.fvecs"  # a single-machine format: the path must be mounted alike everywhere
+
+@query("SELECT vec_id, true AS same FROM embeddings")
+def fvecs_roundtrip(spark, d):
+    # A format of single files: the folder must be mounted alike everywhere.
+    folder = shared_folder(spark).removeprefix("file://")
+    os.makedirs(folder, exist_ok=True)
+    path = f"{folder}/{uuid.uuid4().hex}.fvecs"
     vecs.write_vecs(table(spark, d), path)
     back = vecs.read_fvecs(spark, path, rows=200)
     return back.join(table(spark, d).withColumnRenamed("embedding", "was"), "vec_id").select("vec_id", (F.col("embedding") == F.col("was")).alias("same"))

@@ -123,6 +123,28 @@ def load_bundle(spark: SparkSession, path: str, max_queries: int | None = None)
     return train, test, neighbors
 
 
+def load_dataset(spark: SparkSession, kind: str, path: str, max_queries: int | None = 1000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(base, queries, truth)`` of a folder: ``vecs`` (``base.fvecs``, ``query.fvecs``, ``groundtruth.ivecs``, each
+    perhaps behind a common prefix and ``_``) or ``bundle`` (``save_bundle``). Queries are those up to ``max_queries``."""
+    if kind == "bundle":
+        return load_bundle(spark, path, max_queries)
+    if kind != "vecs":
+        raise ValueError(f"unknown kind of dataset {kind!r}: vecs or bundle")
+    names = sorted(os.listdir(path.removeprefix("file://")))
+
+    def file(name: str) -> str:
+        found = [n for n in names if n == name or n.endswith(f"_{name}")]
+        if len(found) != 1:
+            raise ValueError(f"{path} holds {len(found)} files for {name}")
+        return f"{path}/{found[0]}"
+
+    queries = read_fvecs(spark, file("query.fvecs")).withColumnRenamed("vec_id", "qid")
+    truth = truth_of(read_ivecs(spark, file("groundtruth.ivecs")))
+    if max_queries is not None:  # the feature: a bounded query set
+        queries, truth = queries.filter(F.col("qid") < max_queries), truth.filter(F.col("qid") < max_queries)
+    return read_fvecs(spark, file("base.fvecs")), queries, truth
+
+
 def synthetic(spark: SparkSession, rows: int, dim: int, seed: int = 42) -> DataFrame:
     """Seeded normal vectors, made where they are used."""
 

@@ -81,12 +81,12 @@ def split(centroids: DataFrame, assigned: DataFrame, vectors: DataFrame, target:
     New ids follow the largest old one, two for each split posting in the order of its id.
     """
     over = posting_sizes(assigned, target).filter("need_split").select("cid")
-    rows = assigned.join(F.broadcast(over), "cid", "left_semi").select("cid", "vec_id").join(vectors, "vec_id")
+    rows = assigned.join(over, "cid", "left_semi").select("cid", "vec_id").join(vectors, "vec_id")
     sides = two_means(rows, rounds)
     top = centroids.agg(F.max("cid")).first()[0]
     old = [r["cid"] for r in over.orderBy("cid").collect()]  # postings over the limit of one batch
     numbers = assigned.sparkSession.createDataFrame([(c, top + 1 + 2 * i) for i, c in enumerate(old)], "old int, base int")
-    moved = sides.join(F.broadcast(numbers), F.col("cid") == F.col("old")).select("old", (F.col("base") + F.col("side")).alias("cid"), "vec_id")
+    moved = sides.join(numbers, F.col("cid") == F.col("old")).select("old", (F.col("base") + F.col("side")).alias("cid"), "vec_id")
     new = means(moved.join(vectors, "vec_id").select("cid", "embedding")).select("cid", "centroid")
     names = moved.select("old", "cid").distinct()
     return new.join(names, "cid").select("old", "cid", "centroid"), moved
@@ -102,15 +102,15 @@ def reassign(centroids: DataFrame, new: DataFrame, assigned: DataFrame, vectors:
     """
     best = nearest_centroids(vectors, centroids, 1).select("vec_id", F.col("cid").alias("to_cid"))
     state = assigned.join(vectors, "vec_id").join(best, "vec_id")
-    own = F.broadcast(new.select(F.col("cid").alias("nc"), F.col("centroid").alias("nv"), "old_centroid"))
+    own = new.select(F.col("cid").alias("nc"), F.col("centroid").alias("nv"), "old_centroid")
     one = state.join(own, F.col("cid") == F.col("nc"))
     one = one.filter((squared_l2(F.col("embedding"), F.col("old_centroid")) <= squared_l2(F.col("embedding"), F.col("nv"))) & (F.col("to_cid") != F.col("cid")))
     olds = new.select(F.col("old").alias("cid"), F.col("old_centroid").alias("centroid")).dropDuplicates(["cid"])
     near = nearest_centroids(olds.withColumnRenamed("cid", "old"), centroids, k, "L2", "old", "centroid").select("cid").distinct()
     fresh = new.select(F.col("cid").alias("nc"))
-    near = near.join(F.broadcast(fresh), F.col("cid") == F.col("nc"), "left_anti")
-    mine = F.broadcast(centroids.select(F.col("cid").alias("mc"), F.col("centroid").alias("mv")))
-    two = state.join(F.broadcast(near), "cid", "left_semi").join(mine, F.col("cid") == F.col("mc")).join(own, F.col("to_cid") == F.col("nc"))
+    near = near.join(fresh, F.col("cid") == F.col("nc"), "left_anti")
+    mine = centroids.select(F.col("cid").alias("mc"), F.col("centroid").alias("mv"))
+    two = state.join(near, "cid", "left_semi").join(mine, F.col("cid") == F.col("mc")).join(own, F.col("to_cid") == F.col("nc"))
     two = two.filter(squared_l2(F.col("embedding"), F.col("nv")) <= squared_l2(F.col("embedding"), F.col("mv")))
     pick = lambda df: df.select("vec_id", F.col("cid").alias("from_cid"), "to_cid")
     return pick(one).union(pick(two)).distinct()
