@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 P = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
@@ -30,7 +31,8 @@ def test_files_round_trip(spark):
         work = Workspace(spark, "test")
         tokenfile.write_token_files(spark.createDataFrame(ROWS, SCHEMA), f"{work.path}/ids", BYTES, end_id=2, block_ids=block)
         got = tokenfile.read_token_files(spark, f"{work.path}/ids", with_ids=True).collect()
-        order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+        place = lambda t: (xxhash.xxh64_intdigest((t or "").encode(), 42) + (1 << 63)) % (1 << 64)  # as a signed number
+        order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, place(r[1])))
         want, start = [], 0
         for i, t, _ in order:
             own = np.array(ids_of(BYTES, t) + [2], "<u4").tobytes()
@@ -41,6 +43,17 @@ def test_files_round_trip(spark):
     assert tokenfile.read_token_files(spark, f"{work.path}/none").collect() == []
 
 
+def test_one_id_that_most_rows_share_is_dealt_to_several_shards(spark):
+    rows = [(7, f"text {k % 90}", "x") for k in range(900)] + [(None, "same", "x")] * 300 + [(9, "z", "x")]
+    work = Workspace(spark, "test")
+    tokenfile.write_token_files(spark.createDataFrame(rows, SCHEMA).repartition(5), f"{work.path}/ids", BYTES)
+    by_shard = {r["shard"]: r["n"] for r in spark.read.parquet(f"{work.path}/ids").selectExpr("shard", "size(doc_ids) as n").collect()}
+    assert sum(by_shard.values()) == 1201 and max(by_shard.values()) < 700
+    got = sorted(tokenfile.read_token_files(spark, f"{work.path}/ids").collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None] * 300 + [7] * 900 + [9]
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:]))
+
+
 @pytest.mark.parametrize("ids", [[], [7], [0, 0, 5], list(range(300)) * 2, list(range(70000)), [2**32 - 1, 1, 2**31], list(np.random.default_rng(1).integers(0, 1 << 20, 5001))])
 def test_block_coding(ids):
     block = tokenfile.encode_block(np.array(ids, np.uint32))

@@ -81,7 +81,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 
     Texts are dealt by ranges of the id (one shuffle), so shard ``k`` holds smaller ids than ``k + 1``.
     A block closes at ``block_ids`` ids and never splits a document. Null text counts as empty; null ids
-    come first; documents that share an id lie together, ordered by text.
+    come first; documents that share an id lie together, ordered by the hash of their text, and may be dealt to
+    several shards, equal ones too. Other columns are not carried. Empty table: no row.
     """
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("n_ids", T.LongType()), T.StructField("doc_ids", T.ArrayType(kind)), T.StructField("lengths", T.ArrayType(T.LongType())), T.StructField("data", T.BinaryType())])
@@ -116,7 +117,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             yield row()
 
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    rows = docs.select(F.col(id_col).alias("id"), text).repartitionByRange("id").sortWithinPartitions("id", "text")
+    # Ids that very many rows share (or lack) are parted by the text, and equal texts by their place in the input.
+    rows = docs.select(F.col(id_col).alias("id"), text, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.monotonically_increasing_id().alias("place"))
+    rows = rows.repartitionByRange("id", "h", "place").sortWithinPartitions("id", "h", "place").select("id", "text")
     rows.mapInArrow(write, schema).write.option("compression", "none").parquet(path)
 
 
