@@ -363,6 +363,10 @@ def test_small_pieces(spark, vectors, x):
     assert key(added) == key(graph.thinned(edges, c, 5))
     sizes = dynamic.posting_sizes(assign.nearest(vectors, c), 30)
     assert dynamic.size_totals(sizes).first().asDict() == {"n_postings": 20, "n_vectors": 600, "size_avg": 30.0}
+    assert dynamic.posting_sizes(assign.nearest(vectors, c).filter("cid > 0"), 30, c).filter("cid = 0").first().asDict() == {"cid": 0, "n": 0, "need_split": False, "need_merge": True}
+    changes = spark.createDataFrame([(0, 5), (0, -2), (99, 1)], "cid int, delta long")
+    was, now = ({r["cid"]: r["n"] for r in df.collect()} for df in (sizes, dynamic.updated_sizes(sizes, changes)))
+    assert now == was | {0: was[0] + 3, 99: 1}
     m = np.abs(x[0]).astype(float)
     cosine = lambda f: (lambda k: k @ m / np.sqrt(k @ k))(np.minimum(np.floor(m * f + 1e-5), 7) + 0.5)
     assert cosine(quantize.best_rescale(m, 3)) >= max(cosine(f) for f in np.linspace(0.3, 1, 50) * 7 / m.max()) - 1e-9

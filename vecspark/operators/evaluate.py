@@ -59,10 +59,11 @@ def norm_profile(vectors: DataFrame, tolerance: float = 1e-4) -> DataFrame:
     return n.agg(F.count("*").alias("n_vectors"), F.min("n").alias("norm_min"), F.max("n").alias("norm_max"), F.avg("n").alias("norm_avg"), F.bool_and(F.abs(F.col("n") - 1) <= tolerance).alias("all_unit"))
 
 
-def storage(codes: DataFrame, dim: int) -> DataFrame:
+def storage(codes: DataFrame) -> DataFrame:
     """Bytes of vectors, bytes of their stored codes (one a component, and an id) and the share saved."""
-    n = codes.agg(F.count("*").alias("n"))
-    return n.select((F.col("n") * dim * 4).alias("vector_bytes"), (F.col("n") * (dim + 4)).alias("code_bytes"), (1 - F.lit((dim + 4) / (dim * 4))).alias("saved"))
+    n = F.size("code").cast("long")
+    held = codes.agg(F.count("*").alias("n_vectors"), F.sum(4 * n).alias("vector_bytes"), F.sum(n + 4).alias("code_bytes"))
+    return held.withColumn("saved", 1 - F.col("code_bytes") / F.col("vector_bytes"))
 
 
 def disk_usage(spark, path: str) -> int:

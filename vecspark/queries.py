@@ -462,10 +462,9 @@ def ann_flagship(spark, d):
     return dist6(index.search(queries_of(v), TOP, max_check=60))
 
 
-@query(f"WITH {ONE} SELECT count(*) AS n_vectors, count(*) * 256 AS vector_bytes, count(*) * 68 AS code_bytes FROM f")
+@query(f"WITH {ONE} SELECT count(*) AS n_vectors, sum(4 * len(code))::BIGINT AS vector_bytes, sum(len(code) + 4)::BIGINT AS code_bytes, {r6('1 - sum(len(code) + 4) / sum(4 * len(code))')} AS saved FROM f")
 def code_storage(spark, d):
-    codes = quantize.one_bit(_postings(spark, d))
-    return evaluate.storage(codes, 64).select((F.col("vector_bytes") / 256).cast("long").alias("n_vectors"), "vector_bytes", "code_bytes")
+    return evaluate.storage(quantize.one_bit(_postings(spark, d))).withColumn("saved", M.rounded(F.col("saved")))
 
 
 def _mirror(v: str) -> str:

@@ -48,12 +48,20 @@ def label_counts(labels: DataFrame) -> DataFrame:
     return labels.agg(F.count("*").alias("n_total"), F.count_if(gone).alias("n_deleted"), F.count_if(~gone).alias("n_active"))
 
 
-def posting_sizes(postings: DataFrame, target: int) -> DataFrame:
-    """``(cid, n, need_split, need_merge)``: over twice the target, under half of it."""
+def posting_sizes(postings: DataFrame, target: int, centroids: DataFrame | None = None) -> DataFrame:
+    """``(cid, n, need_split, need_merge)``: over twice the target, under half of it; with ``centroids`` also postings without rows."""
     n = postings.groupBy("cid").agg(F.count("*").alias("n"))
+    if centroids is not None:
+        n = centroids.select("cid").join(n, "cid", "left").select("cid", F.coalesce("n", F.lit(0)).alias("n"))
     return n.withColumn("need_split", F.col("n") > 2 * target).withColumn("need_merge", F.col("n") < int(0.5 * target))
 
 
+def updated_sizes(sizes: DataFrame, changes: DataFrame) -> DataFrame:
+    """Sizes ``(cid, n)`` after ``changes(cid, delta)``, any number of them for a posting."""
+    both = sizes.select("cid", "n").unionByName(changes.select("cid", F.col("delta").alias("n")))
+    return both.groupBy("cid").agg(F.sum("n").alias("n"))
+
+
 def size_totals(sizes: DataFrame) -> DataFrame:
     return sizes.agg(F.count("*").alias("n_postings"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_vectors"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("size_avg"))
 

@@ -141,7 +141,7 @@ class DynamicIndex:
         self._commit(self.state | {"labels": self._labelled(gone)})
 
     def sizes(self) -> DataFrame:
-        return dynamic.posting_sizes(dynamic.live(self.postings, self.labels), self.state["target"])
+        return dynamic.posting_sizes(dynamic.live(self.postings, self.labels), self.state["target"], self.centroids)
 
     def maintain(self) -> int:
         """Splits the postings over twice the target (their deleted rows collected first) and reassigns; returns how many."""
