@@ -128,6 +128,13 @@ def test_a_line_of_very_many_words(spark):
     assert {r["doc_id"]: r["text"] == "" for r in got} == {0: False, 1: True, 2: False}
 
 
+def test_a_document_of_very_many_candidate_lines(spark):
+    lines = [f"line {k} of a very long document {k}" for k in range(30_000)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(f"{x} more" for x in lines))]
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: len(r["text"]) for r in got} == {1: len(rows[0][1]), 2: 0}
+
+
 def test_columns_with_the_operators_names(spark):
     rows = [(k, "one line of five words", f"a{k}", f"b{k}", k, k) for k in range(3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, _removed string, _id string, _c0 int, `n.lines` int")

@@ -116,8 +116,11 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wanted = distinct.join(asked, "_h", "left_semi").select("_first._id", "_first._th", F.col("_first._line").alias("_line"))
     wanted = work.stage(wanted.groupBy("_id", "_th").agg(F.collect_set("_line").alias("_lines")).withColumnsRenamed({"_id": "_i", "_th": "_t"}), "wanted")
     found = base.join(small(wanted, 48, 4 * F.size("_lines")), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t")))
-    found = found.withColumn("_all", F.split("_text", "\n")).select("_id", "_th", F.explode("_lines").alias("_line"), "_all")
-    found = found.select(order.alias("_o"), F.trim(_folded(F.get("_all", F.col("_line")))).alias("_x"))
+    # The text is split once (a column that is used twice is not computed again) and no row carries all its lines.
+    found = found.withColumn("_all", F.split("_text", "\n"))
+    line = lambda i: F.struct(i.alias("_line"), F.get("_all", F.least(i, F.size("_all") - 1)).alias("_s"))
+    found = found.select("_id", "_th", F.explode(F.transform("_lines", line)).alias("_z")).select("_id", "_th", "_z._line", "_z._s")
+    found = found.select(order.alias("_o"), F.trim(_folded(F.col("_s"))).alias("_x"))
     # Rows that share id and text bring the same lines: one of each stays.
     found = work.stage(found.select(*_same(x), "_o", "_x").dropDuplicates(["_h", "_g"]), "candidates").withColumn("_w", F.split("_x", " "))
 
