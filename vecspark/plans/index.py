@@ -160,4 +160,4 @@ class VectorIndex:
             met = plan.pruned(met, k)
         if rerank_top_n:
             met = plan.ranked(met, "qid", [F.col("est"), F.col("vec_id")], rerank_top_n, "_n").drop("_n")
-        return plan.rerank(met, self.vectors, k, c.metric) if c.bits and c.rerank else plan.top_k(met, k)
+        return plan.rerank(met, queries, self.vectors, k, c.metric) if c.bits and c.rerank else plan.top_k(met, k)
