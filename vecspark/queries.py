@@ -22,8 +22,8 @@ from vecspark.streaming.dynamic_index import DynamicIndex
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
-#: Seeds, queries and neighbours of the catalogue.
-K, NQ, TOP = 16, 20, 10
+#: Seeds and neighbours of the catalogue. Queries are the rows whose id this divides.
+K, TOP, EVERY = 16, 10, 20
 
 
 def query(sql: str | None = None):
@@ -53,7 +53,7 @@ def r6(x: str) -> str:
 
 E_ = "e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)"
 C_ = f"{E_}, c AS (SELECT vec_id::INT AS cid, v AS c FROM e WHERE vec_id < {K})"
-Q_ = f"q AS (SELECT vec_id AS qid, v AS q FROM e WHERE vec_id < {NQ})"
+Q_ = f"q AS (SELECT vec_id AS qid, v AS q FROM e WHERE vec_id % {EVERY} = 0)"
 NEAR = f"{C_}, near AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, cid)::INT AS rank FROM (SELECT vec_id, v, cid, {l2('v', 'c')} AS dist FROM e, c))"
 FINAL = f"SELECT qid, vec_id, rank, {r6('dist')} AS dist FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id)::INT AS rank FROM found) WHERE rank <= {TOP}"
 
@@ -70,8 +70,8 @@ def table(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding")
 
 
-def queries_of(vectors: DataFrame, n: int = NQ) -> DataFrame:
-    return knn.as_queries(vectors, F.col("vec_id") < n)
+def queries_of(vectors: DataFrame) -> DataFrame:
+    return knn.as_queries(vectors, F.col("vec_id") % EVERY == 0)
 
 
 def seeds(vectors: DataFrame, k: int = K) -> DataFrame:
@@ -317,10 +317,10 @@ def ann_prefix(spark, d):
     return dist6(index.search(q, TOP, per_posting=30))
 
 
-@query(_ann_sql(TWO, probes="c_rank <= 8 AND (1.2 * (SELECT min(p.c_dist) FROM probes p WHERE p.qid = probes.qid) <= 0.1 OR c_dist <= 1.2 * (SELECT min(p.c_dist) FROM probes p WHERE p.qid = probes.qid))").replace("vec_id < 20", "vec_id BETWEEN 100 AND 119"))
+@query(_ann_sql(TWO, probes="c_rank <= 8 AND (1.2 * (SELECT min(p.c_dist) FROM probes p WHERE p.qid = probes.qid) <= 0.1 OR c_dist <= 1.2 * (SELECT min(p.c_dist) FROM probes p WHERE p.qid = probes.qid))"))
 def ann_dist_ratio(spark, d):
-    index, _ = _index(spark, d)
-    return dist6(index.search(knn.as_queries(table(spark, d), F.col("vec_id").between(100, 119)), TOP, n_probe=8, max_dist_ratio=1.2))
+    index, q = _index(spark, d)
+    return dist6(index.search(q, TOP, n_probe=8, max_dist_ratio=1.2))
 
 
 @query(_ann_sql(TWO, found="(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY est, vec_id) AS n FROM capped) WHERE n <= 7)"))
@@ -498,11 +498,16 @@ def rng_graph(spark, d):
     return dist6(graph.thinned(graph.knn_graph(c, 12), c, 6)).select("src", "dst", "dist")
 
 
-def _batch(spark, d, search) -> DataFrame:
-    """Runs ``search(x, q)`` on the driver-size table of 256 seeds for every query, in tasks."""
+#: Seeds that a tree or graph finds its way among, and postings that it leads to.
+HEADS, LED = 256, 8
+
+
+def _led(spark, d, search) -> DataFrame:
+    """Probes found by ``search(v, x)`` on the driver-size table of seeds, in tasks; their postings hold all vectors."""
     v = table(spark, d)
-    x = next(knn.matrix_blocks(seeds(v, 256).orderBy("cid"), "cid", "centroid"))[1]
-    run = search(spark, v, x)
+    q, c = queries_of(v), seeds(v, HEADS)
+    ids, x = next(knn.matrix_blocks(c.orderBy("cid"), "cid", "centroid"))
+    run = search(c, x)
 
     def one(batches):
         import pandas as pd
@@ -510,42 +515,46 @@ def _batch(spark, d, search) -> DataFrame:
         for b in batches:
             for qid, e in zip(b["qid"], b["embedding"], strict=True):
                 rows, dist = run(np.asarray(e, np.float64))
-                yield pd.DataFrame({"qid": qid, "cid": rows, "rank": np.arange(1, len(rows) + 1, dtype=np.int32), "dist": dist})
+                yield pd.DataFrame({"qid": qid, "q": [e] * len(rows), "cid": ids[rows], "c_rank": np.arange(1, len(rows) + 1, dtype=np.int32), "c_dist": dist})
 
-    return dist6(queries_of(v).mapInPandas(one, "qid long, cid long, rank int, dist double"))
+    probes = q.mapInPandas(one, "qid long, q array<float>, cid int, c_rank int, c_dist double")
+    return dist6(plan.top_k(plan.first_met(plan.scored(probes, assign.top_r(v, c, 2), v)), TOP))
 
 
-#: What a walk that ends nowhere early finds among the seeds.
-_ALL_SEEDS = f"WITH {E_}, {Q_}, found AS (SELECT qid, vec_id AS cid, {l2('q', 'v')} AS dist FROM q, e WHERE vec_id < 256) SELECT qid, cid, rank, {r6('dist')} AS dist FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, cid)::INT AS rank FROM found) WHERE rank <= {TOP}"
+#: What a walk that ends nowhere early leads to.
+_HEADED = _ann_sql(TWO, probes=f"c_rank <= {LED}").replace(f"vec_id < {K})", f"vec_id < {HEADS})")
+#: The same among the seeds that edges lead to from the first.
+_EDGES = GRAPH.split("c AS (", 1)[1].replace("vec_id < 64", f"vec_id < {HEADS}").replace("rank <= 12", "rank <= 32").split("g AS (", 1)[1]
+_REACHED = f"""g AS ({_EDGES}, lists AS (SELECT src, list({{'dist': dist, 'id': dst, 'v': v}} ORDER BY dist, dst) AS l FROM g GROUP BY src),
+kept AS (SELECT src, unnest({fold(16)}) AS x FROM lists), reached AS (SELECT 0 AS cid UNION SELECT x.id FROM reached JOIN kept ON src = cid)"""
 
 
-@query()
+@query(_HEADED.replace("WITH ", "WITH RECURSIVE ", 1).replace(", probes AS (", f", {_REACHED}, probes AS (", 1).replace("FROM q, c)", "FROM q, c WHERE cid IN (FROM reached))", 1))
 def graph_greedy_search(spark, d):
-    def make(spark, v, x):
-        c = seeds(v, 256)
+    def make(c, x):
         g = graph.adjacency(graph.thinned(graph.knn_graph(c, 32), c, 16), len(x))
-        return lambda q: graph.greedy(g, x, q, TOP)
+        return lambda q: graph.greedy(g, x, q, LED)
 
-    return _batch(spark, d, make)
+    return _led(spark, d, make)
 
 
-@query(_ALL_SEEDS)
+@query(_HEADED)
 def kdtree_search(spark, d):
-    def make(spark, v, x):
+    def make(c, x):
         nodes = tree.build_kdt(x)
-        return lambda q: tree.search_kdt(nodes, x, q, TOP, candidates=len(x))
+        return lambda q: tree.search_kdt(nodes, x, q, LED, candidates=len(x))
 
-    return _batch(spark, d, make)
+    return _led(spark, d, make)
 
 
-@query(_ALL_SEEDS)
+@query(_HEADED)
 def bkt_rng_search(spark, d):
-    def make(spark, v, x):
-        nodes, c = tree.build_bkt(x), seeds(v, 256)
+    def make(c, x):
+        nodes = tree.build_bkt(x)
         g = graph.adjacency(graph.thinned(graph.knn_graph(c, 32), c, 16), len(x))
-        return lambda q: tree.search_bkt(nodes, x, q, TOP, graph=g, leaves=len(x), max_check=len(x))
+        return lambda q: tree.search_bkt(nodes, x, q, LED, graph=g, leaves=len(x), max_check=len(x))
 
-    return _batch(spark, d, make)
+    return _led(spark, d, make)
 
 
 # Evaluation
@@ -675,7 +684,7 @@ _REASSIGNED = ORACLE_SQL["dyn_reassign"].replace(C_, _ARRIVED).replace("(SELECT
 
 @query(f"""{_REASSIGNED},
 held AS (SELECT coalesce(moves.to_cid, state.cid) AS cid, state.vec_id, v FROM state LEFT JOIN moves ON moves.vec_id = state.vec_id),
-q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < {NQ}),
+q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % {EVERY} = 0),
 probes AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY c_dist, cid)::INT AS c_rank FROM (SELECT qid, q, cid, {l2('q', 'c')} AS c_dist FROM q, allc)),
 found AS (SELECT DISTINCT qid, vec_id, {l2('q', 'v')} AS dist FROM probes JOIN held USING (cid) WHERE c_rank <= 4) {FINAL}""")
 def dyn_cycle(spark, d):
