@@ -34,5 +34,7 @@ def test_runs(spark, name):
 
 
 def test_entry(spark):
-    assert __spark_entry__.entry(spark).count() == 200
+    asked = duckdb.sql(f"SELECT vec_id FROM '{DIR}/embeddings.parquet' WHERE vec_id % 20 = 0").fetchall()
+    got = __spark_entry__.entry(spark).collect()
+    assert sorted((r["qid"], r["rank"]) for r in got) == sorted((q, k) for (q,) in asked for k in range(1, 11))
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
