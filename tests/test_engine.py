@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from vecspark.functions import metrics, params
 from vecspark.operators import assign, clustering, evaluate, graph, knn, quantize, tree
+from vecspark.plans import search
 from vecspark.plans.index import PRESETS, Config, VectorIndex, preset
 from vecspark.sources import vecs
 from vecspark.streaming import dynamic
@@ -376,3 +377,25 @@ def test_small_pieces(spark, vectors, x):
     v = np.array(row["embedding"], float)
     s = (v > 0) - 0.5
     assert row["d"] == pytest.approx(np.linalg.norm(v) / np.linalg.norm(s) * (v @ s) / (np.linalg.norm(v) * np.linalg.norm(s)))
+
+
+def test_scan_gives_what_decides_on_the_nearest_and_no_more(spark, vectors, queries):
+    rng = np.random.default_rng(3)
+    copies = vectors.select("vec_id", "embedding").union(vectors.filter("vec_id = 7").select(F.explode(F.sequence(F.lit(1000), F.lit(1400))).alias("vec_id"), "embedding")).cache()
+    centroids = clustering.seeds(copies, 9)
+    index = VectorIndex.build(copies, Config(DIM, assignment="closure", closure_factor=1.6, n_probe=5, max_check=None), centroids)
+    probes = search.probe(queries, centroids, 5).filter((F.col("c_rank") < 5) | (F.col("qid") % 2 == 0)).cache()
+    plain = search.scored(probes, index.postings, copies).cache()
+    for block in (1 << 26, 4000):
+        found = search.nearest_met(probes, index.postings, copies, 6, block_bytes=block).cache()
+        tasks = found.select(F.spark_partition_id()).distinct().count()
+        assert found.filter("vec_id IS NOT NULL").count() <= 6 * probes.count() * tasks < plain.count() * 2
+        first = search.first_met(plain)
+        seen = lambda df: {(r[0], r[1]): r[2] for r in df.collect()}
+        assert seen(found.groupBy("qid", "c_rank").agg(F.sum("new")).filter("`sum(new)` > 0")) == seen(first.groupBy("qid", "c_rank").count())
+        assert seen(found.groupBy("qid", "c_rank").agg(F.sum("n")).filter("`sum(n)` > 0")) == seen(plain.groupBy("qid", "c_rank").count())
+        for most in (None, 1, 4, 30, *rng.integers(50, 1200, 4).tolist()):
+            for wanted in (None, 2):
+                want = search.first_met(search.early_stop(plain, wanted, 6) if wanted else plain, most)
+                assert by_query(search.top_k(search.checked(found, 6, most, wanted), 6)) == by_query(search.top_k(want, 6))
+    assert search.nearest_met(probes.filter("qid < 0"), index.postings, copies, 6).count() == 0

@@ -147,15 +147,16 @@ class VectorIndex:
         c = self.config
         probes = plan.probe(queries, self.centroids, n_probe or c.n_probe, c.metric, max_dist_ratio or c.max_dist_ratio)
         limit = lambda df: assign.first_come(df, per_posting).drop("pos") if per_posting else df
+        gone = lambda df: df if deleted is None else df.join(deleted.select("vec_id"), "vec_id", "left_anti")
         if c.bits:
-            found = plan.scored_by_codes(probes, limit(self._probed(self.codes, probes)), c.bits, c.metric)
+            found = gone(plan.scored_by_codes(probes, limit(self._probed(self.codes, probes)), c.bits, c.metric))
+            if early_stop_postings:
+                found = plan.early_stop(found, early_stop_postings, k)
+            met = plan.first_met(found, max_check or c.max_check)
         else:
-            found = plan.scored(probes, limit(self._probed(self.postings, probes)), self.vectors, c.metric)
-        if deleted is not None:
-            found = found.join(deleted.select("vec_id"), "vec_id", "left_anti")
-        if early_stop_postings:
-            found = plan.early_stop(found, early_stop_postings, k)
-        met = plan.first_met(found, max_check or c.max_check)
+            postings = gone(limit(self._probed(self.postings, probes)))
+            found = plan.nearest_met(probes, postings, self.vectors, max(k, rerank_top_n or 0), c.metric)
+            met = plan.checked(found, k, max_check or c.max_check, early_stop_postings)
         if c.pruned:
             met = plan.pruned(met, k)
         if rerank_top_n:
