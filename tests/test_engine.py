@@ -416,3 +416,23 @@ def test_pruned_search_scans_once_and_stops_where_it_should(vectors, queries):
     got = index.search(queries, 5)
     assert by_query(got) == want and cut
     assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2  # postings, scan
+
+
+@pytest.mark.parametrize("metric", ("L2", "IP"))
+def test_estimates_by_blocks_are_those_of_the_columns(vectors, queries, metric):
+    far = vectors.withColumn("embedding", F.transform("embedding", lambda v: v + 3000))
+    rows = assign.nearest(far, clustering.seeds(far, 5)).select("cid", "vec_id").join(far, "vec_id")
+    asked = knn.as_queries(far, F.col("vec_id") < 25)
+    for bits in (1, 4):
+        codes = quantize.encode(rows, bits, metric).cache()
+        column = quantize.estimate(bits, F.col("q"), metric)
+        want = {(r[0], r[1]): r[2] for r in codes.crossJoin(asked.withColumnRenamed("embedding", "q")).select("qid", "vec_id", column).collect()}
+        for block in (1 << 26, 500):
+            df = quantize.estimates(codes, asked, bits, metric, block_bytes=block)
+            got = df.collect()
+            assert len(got) == len(want) == 600 * 25
+            assert max(abs(r["est"] - want[r["qid"], r["vec_id"]]) for r in got) <= (1e-9 if bits == 4 and metric == "L2" else 1e-3)
+            assert "NestedLoop" not in df._jdf.queryExecution().toString() and "Cartesian" not in df._jdf.queryExecution().toString()
+    assert quantize.estimates(codes, asked.filter("qid < 0"), 4).count() == 0
+    edge = np.array([0.5e-6, -0.5e-6, 2.4999994, -0.0, np.inf, -np.inf, np.nan, 1e305, -1.2345675])
+    assert repr(metrics.numpy_rounded(edge).tolist()) == "[1e-06, -1e-06, 2.499999, 0.0, inf, -inf, nan, 1e+305, -1.234568]"

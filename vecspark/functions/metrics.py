@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,6 +62,15 @@ def rounded(value: Column, digits: int = 6) -> Column:
     return F.round(value, digits) + F.lit(0.0)
 
 
+def numpy_rounded(values, digits: int = 6):
+    """As ``rounded``, of an array."""
+    scaled = values * 10.0**digits
+    near = np.trunc(scaled)
+    near += np.where(np.abs(scaled - near) >= 0.5, np.sign(scaled), 0.0)
+    near /= 10.0**digits
+    return np.where(np.isfinite(near), near, values) + 0.0
+
+
 def numpy_distance(metric: str) -> Callable:
     """``f(x, c)``: distances of every row of ``x`` to every row of ``c``, by one matrix product."""
     check_metric(metric)

@@ -6,13 +6,18 @@ an estimate. More bits: codes on the range of all residuals of the posting, esti
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from vecspark.functions.metrics import check_metric, distance, dot, subtract, total
+from vecspark.functions.metrics import check_metric, distance, dot, numpy_rounded, subtract, total
 from vecspark.operators.clustering import means
+from vecspark.operators.knn import BLOCK_BYTES, batch_matrix, matrix_blocks, spread
 
 
 def posting_means(rows: DataFrame) -> DataFrame:
@@ -91,6 +96,81 @@ def estimate(bits: int, q: Column, metric: str = "L2") -> Column:
     return estimate_one_bit(q, metric) if bits == 1 else estimate_multi_bit(q, metric)
 
 
+#: What an estimate reads of a code: by one bit, by more.
+READ = {True: ("code", "mu", "f_add", "f_rescale"), False: ("code", "mu", "lo", "scale")}
+
+#: Queries whose differences to a vector are at hand at a time (1 MB at 64 components), rows that leave a task at a time.
+AT_HAND, ROWS_OUT = 2048, 1 << 19
+
+
+#: No value is null, which spares each of the many rows its marks.
+ESTIMATE = StructType([StructField("qid", LongType(), False), StructField("vec_id", LongType(), False), StructField("est", DoubleType(), False)])
+
+
+def _by_posting(batches, one: bool) -> Iterator[tuple]:
+    """``(ids, code, mu, *numbers)`` of each posting in each batch of ``cid, vec_id`` and what ``READ`` names; ``mu`` is one vector."""
+    for b in batches:
+        cid, ids, code, mu = b.column(0).to_numpy(), b.column(1).to_numpy(), batch_matrix(b.column(2)), batch_matrix(b.column(3))
+        numbers = [b.column(i).to_numpy(zero_copy_only=False) for i in (4, 5)]
+        for c in np.unique(cid):
+            rows = np.flatnonzero(cid == c)
+            yield ids[rows], code[rows], mu[rows[0]], *(v[rows] for v in numbers)
+
+
+def _one_bit_estimates(q: np.ndarray, code: np.ndarray, mu: np.ndarray, add: np.ndarray, rescale: np.ndarray, metric: str) -> np.ndarray:
+    """``estimate_one_bit`` of rows by queries, by one matrix product."""
+    qr = q - mu
+    est = code @ qr.T
+    est -= 0.5 * qr.sum(1)
+    est *= rescale[:, None]
+    est += (qr * qr).sum(1) if metric == "L2" else -(q @ mu)
+    est += add[:, None]
+    return np.maximum(est, 0.0, out=est) if metric == "L2" else est
+
+
+def _multi_bit_estimates(q: np.ndarray, code: np.ndarray, mu: np.ndarray, lo: np.ndarray, scale: np.ndarray, metric: str) -> np.ndarray:
+    """``estimate_multi_bit`` of rows by queries; squares are summed directly, as a product of large vectors cancels."""
+    x = code * scale[:, None] + lo[:, None] + mu
+    if metric != "L2":
+        return -(x @ q.T)
+    est, held = np.empty((len(x), len(q))), np.empty((min(AT_HAND, len(q)), q.shape[1]))
+    for i, v in enumerate(x):
+        for s in range(0, len(q), AT_HAND):
+            d = np.subtract(q[s : s + AT_HAND], v, out=held[: len(q[s : s + AT_HAND])])
+            np.einsum("ij,ij->i", d, d, out=est[i, s : s + AT_HAND])
+    return est
+
+
+def estimates(codes: DataFrame, queries: DataFrame, bits: int, metric: str = "L2", digits: int | None = None, n: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``(qid, vec_id, est)`` of every row of ``codes`` for each of ``queries(qid, embedding)``, rounded if ``digits`` are given.
+
+    ``n``: rows of ``codes``, counted if unknown; they are dealt so that a task makes about as many estimates as another.
+    """
+    check_metric(metric)
+    one, parts = bits == 1, []
+    make = _one_bit_estimates if one else _multi_bit_estimates
+    rows = codes.select("cid", F.col("vec_id").cast("long"), *READ[one])
+    for qids, q in matrix_blocks(queries, "qid", "embedding", block_bytes):
+
+        def run(batches, qids=qids, q=q):
+            step = max(1, ROWS_OUT // len(q))
+            for ids, code, mu, *numbers in _by_posting(batches, one):
+                for s in range(0, len(ids), step):
+                    part = slice(s, s + step)
+                    est = make(q, code[part], mu, *(v[part] for v in numbers), metric).ravel()
+                    cols = [np.tile(qids, len(ids[part])), np.repeat(ids[part], len(q)), est if digits is None else numpy_rounded(est, digits)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["qid", "vec_id", "est"])
+
+        n = rows.count() if n is None else n
+        parts.append(spread(rows, n, len(q)).mapInArrow(run, ESTIMATE))
+    if not parts:
+        return codes.sparkSession.createDataFrame([], ESTIMATE)
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.union(p)
+    return found
+
+
 def rotated(rows: DataFrame, queries: DataFrame, k: int, seed: int = 0, turn: np.ndarray | None = None) -> DataFrame:
     """``(qid, vec_id, rank, dist)`` by one-bit estimates of rotated residuals (L2); the rotation is random unless given."""
     from vecspark.operators.knn import BROADCAST_BYTES, ranked

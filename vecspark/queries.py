@@ -425,8 +425,8 @@ EST4 = f"dec AS (SELECT *, {DEC} AS x FROM f), est AS (SELECT qid, q, vec_id, ci
 
 @query(f"WITH {_bits_sql(4)}, {Q_}, {EST4} SELECT qid, vec_id, {r6('est')} AS est FROM est")
 def rabitq_estimate_4bit(spark, d):
-    q = F.broadcast(queries_of(table(spark, d)).withColumnRenamed("embedding", "q"))
-    return quantize.multi_bit(_postings(spark, d), 4).crossJoin(q).select("qid", "vec_id", M.rounded(quantize.estimate_multi_bit(F.col("q"))).alias("est"))
+    v = table(spark, d)
+    return quantize.estimates(quantize.multi_bit(_postings(spark, d), 4), queries_of(v), 4, digits=6, n=v.count())
 
 
 IN_PROBES = "cand AS (SELECT est.*, c_rank FROM est JOIN probes USING (qid, cid) WHERE c_rank <= 4)"
