@@ -415,8 +415,8 @@ EST = f"qr AS (SELECT *, list_transform(list_zip(q, mu), lambda p: p[1] - p[2])
 
 @query(f"WITH {ONE}, {Q_}, {EST} SELECT qid, vec_id, {r6('est')} AS est FROM est")
 def rabitq_estimate_1bit(spark, d):
-    q = F.broadcast(queries_of(table(spark, d)).withColumnRenamed("embedding", "q"))
-    return quantize.one_bit(_postings(spark, d)).crossJoin(q).select("qid", "vec_id", M.rounded(quantize.estimate_one_bit(F.col("q"))).alias("est"))
+    v = table(spark, d)
+    return quantize.estimates(quantize.one_bit(_postings(spark, d)), queries_of(v), 1, digits=6, n=v.count())
 
 
 DEC = f"list_transform(list_zip(code, mu), lambda p: p[1] * scale + lo + p[2])"  # noqa: F541
