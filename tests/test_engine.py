@@ -436,3 +436,22 @@ def test_estimates_by_blocks_are_those_of_the_columns(vectors, queries, metric):
     assert quantize.estimates(codes, asked.filter("qid < 0"), 4).count() == 0
     edge = np.array([0.5e-6, -0.5e-6, 2.4999994, -0.0, np.inf, -np.inf, np.nan, 1e305, -1.2345675])
     assert repr(metrics.numpy_rounded(edge).tolist()) == "[1e-06, -1e-06, 2.499999, 0.0, inf, -inf, nan, 1e+305, -1.234568]"
+
+
+def test_rotated_search_holds_few_candidates_and_orders_copies(spark, x):
+    """Copies that tie at the end of the list, rows of two postings, and many more rows than are asked for."""
+    of = np.r_[np.arange(40), np.full(3000, 7), np.arange(40)]
+    x, ids = x[of].astype(float), np.random.default_rng(5).permutation(len(of))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    once = df.withColumn("cid", F.lit(0)).repartition(5)
+    rows = once.union(once.filter(F.col("vec_id").isin(ids[:40].tolist())).withColumn("cid", F.lit(1)))
+    asked = knn.as_queries(df, F.col("vec_id") % 100 == 0)
+    codes = quantize.one_bit(rows, debias=True).cache()
+    est = codes.crossJoin(asked.withColumnRenamed("embedding", "q")).select("qid", "vec_id", quantize.estimate_one_bit(F.col("q")).alias("dist"))
+    want = by_query(knn.ranked(est.groupBy("qid", "vec_id").agg(F.min("dist").alias("dist")), "qid", ["dist", "vec_id"], 12))
+    for block in (1 << 26, 700):
+        found = quantize.nearest_by_one_bit(codes, asked, 12, block_bytes=block)
+        assert by_query(found) == want
+    plan = quantize.rotated(rows, asked, 12, turn=np.eye(DIM))
+    assert by_query(plan) == want
+    assert "NestedLoop" not in plan._jdf.queryExecution().toString() and "Cartesian" not in plan._jdf.queryExecution().toString()

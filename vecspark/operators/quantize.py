@@ -17,7 +17,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from vecspark.functions.metrics import check_metric, distance, dot, numpy_rounded, subtract, total
 from vecspark.operators.clustering import means
-from vecspark.operators.knn import BLOCK_BYTES, batch_matrix, matrix_blocks, spread
+from vecspark.operators.knn import BLOCK_BYTES, EMPTY, batch_matrix, hold, matrix_blocks, ranked, rows_at_a_time, spread, within_reach
 
 
 def posting_means(rows: DataFrame) -> DataFrame:
@@ -171,10 +171,53 @@ def estimates(codes: DataFrame, queries: DataFrame, bits: int, metric: str = "L2
     return found
 
 
+def nearest_by_one_bit(codes: DataFrame, queries: DataFrame, k: int, n: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``(qid, vec_id, rank, dist)``: the ``k`` first by one-bit estimates (L2), a row of several postings by its least.
+
+    Each task gives at most ``k`` candidates a query.
+    """
+    in_order = lambda v: np.add.accumulate(v, 1)[:, -1]  # noqa: E731  # as expressions add, to the last bit
+    parts = []
+    rows = codes.select("cid", F.col("vec_id").cast("long"), *READ[True])
+    for qids, q in matrix_blocks(queries, "qid", "embedding", block_bytes):
+
+        def run(batches, qids=qids, q=q):
+            best, held, everyone = np.full((len(q), k), np.nan), np.full((len(q), k), EMPTY), np.arange(len(q))
+            for ids, code, mu, add, rescale in _by_posting(batches, True):
+                qr = q - mu
+                g, half, reach = in_order(qr * qr), 0.5 * in_order(qr), np.abs(qr).sum(1)
+                step = rows_at_a_time(len(q))
+                for s in range(0, len(ids), step):
+                    part = slice(s, s + step)
+                    own, c, f, r = ids[part], code[part], add[part], rescale[part]
+                    # a matrix product only chooses, so that equal rows tie wherever they stand in it
+                    d = np.ascontiguousarray(_one_bit_estimates(q, c, mu, f, r, "L2").T)
+                    off = 16 * np.finfo(np.float64).eps * (q.shape[1] + 4) * (np.abs(f).max() + g + np.abs(r).max() * reach)
+                    off[~np.isfinite(off)] = np.inf
+                    d[~np.isfinite(d)] = np.inf
+                    at, near = np.nonzero(within_reach(d, best[:, k - 1], off, k))
+                    for t in range(0, len(at), 65536):
+                        a, b = at[t : t + 65536], near[t : t + 65536]
+                        est = f[b] + g[a] + r[b] * (in_order(c[b] * qr[a]) - half[a])
+                        hold(best, held, (everyone,), a, np.maximum(est, 0.0), own[b])
+            at, j = np.nonzero(held != EMPTY)
+            for s in range(0, len(at), ROWS_OUT):
+                a, b = at[s : s + ROWS_OUT], j[s : s + ROWS_OUT]
+                yield pa.RecordBatch.from_arrays([pa.array(qids[a]), pa.array(held[a, b]), pa.array(best[a, b])], names=["qid", "vec_id", "dist"])
+
+        n = rows.count() if n is None else n
+        parts.append(spread(rows, n, len(q)).mapInArrow(run, "qid long, vec_id long, dist double"))
+    if not parts:
+        return codes.sparkSession.createDataFrame([], "qid long, vec_id long, rank int, dist double")
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.union(p)
+    once = found.groupBy("qid", "vec_id").agg(F.min("dist").alias("dist"))
+    return ranked(once, "qid", [F.col("dist"), F.col("vec_id")], k).select("qid", "vec_id", "rank", "dist")
+
+
 def rotated(rows: DataFrame, queries: DataFrame, k: int, seed: int = 0, turn: np.ndarray | None = None) -> DataFrame:
     """``(qid, vec_id, rank, dist)`` by one-bit estimates of rotated residuals (L2); the rotation is random unless given."""
-    from vecspark.operators.knn import BROADCAST_BYTES, ranked
-
     first = rows.select("embedding").first()
     if first is None:
         return rows.sparkSession.createDataFrame([], "qid long, vec_id long, rank int, dist double")
@@ -188,11 +231,7 @@ def rotated(rows: DataFrame, queries: DataFrame, k: int, seed: int = 0, turn: np
         return pd.Series(list(np.array(v.tolist(), np.float64).reshape(-1, dim) @ turn)) if len(v) else pd.Series([], dtype=object)
 
     codes = one_bit(rows.withColumn("embedding", spin("embedding")), "L2", debias=True)
-    q = queries.select("qid", spin("embedding").alias("q"))
-    if (queries.agg(F.sum(8 * F.size("embedding") + 16)).first()[0] or 0) <= BROADCAST_BYTES:
-        q = F.broadcast(q)
-    est = codes.crossJoin(q).select("qid", "vec_id", estimate_one_bit(F.col("q")).alias("dist"))
-    return ranked(est.groupBy("qid", "vec_id").agg(F.min("dist").alias("dist")), "qid", [F.col("dist"), F.col("vec_id")], k).select("qid", "vec_id", "rank", "dist")
+    return nearest_by_one_bit(codes, queries.select("qid", spin("embedding").alias("embedding")), k, rows.count())
 
 
 def best_rescale(magnitudes: np.ndarray, bits: int, steps: int = 200) -> float:
