@@ -438,6 +438,17 @@ def test_estimates_by_blocks_are_those_of_the_columns(vectors, queries, metric):
     assert repr(metrics.numpy_rounded(edge).tolist()) == "[1e-06, -1e-06, 2.499999, 0.0, inf, -inf, nan, 1e+305, -1.234568]"
 
 
+def test_rounded_estimates_are_the_direct_ones():
+    rng = np.random.default_rng(9)
+    for shift, spread in ((0, 1), (3000, 1), (0, 1e5), (0, 1e200)):
+        q, mu = (rng.standard_normal((70, 24)) * spread + shift for _ in range(2))
+        read = q, rng.integers(0, 16, (900, 24)).astype(float), mu[0], np.full(900, -2.0 * spread), np.full(900, 0.27 * spread)
+        with np.errstate(all="ignore"):
+            want = metrics.numpy_rounded(quantize._multi_bit_estimates(*read, "L2"))
+            got = quantize._multi_bit_rounded(*read, 6)
+        assert np.array_equal(got, want, equal_nan=True)
+
+
 def test_rotated_search_holds_few_candidates_and_orders_copies(spark, x):
     """Copies that tie at the end of the list, rows of two postings, and many more rows than are asked for."""
     of = np.r_[np.arange(40), np.full(3000, 7), np.arange(40)]

@@ -65,10 +65,15 @@ def rounded(value: Column, digits: int = 6) -> Column:
 def numpy_rounded(values, digits: int = 6):
     """As ``rounded``, of an array."""
     scaled = values * 10.0**digits
-    near = np.trunc(scaled)
-    near += np.where(np.abs(scaled - near) >= 0.5, np.sign(scaled), 0.0)
+    near = np.rint(scaled)
+    half = np.abs(scaled - near) == 0.5  # these go away from zero
+    if half.any():
+        near[half] = np.trunc(scaled[half]) + np.sign(scaled[half])
     near /= 10.0**digits
-    return np.where(np.isfinite(near), near, values) + 0.0
+    lost = ~np.isfinite(near)
+    if lost.any():
+        near[lost] = values[lost]
+    return near + 0.0
 
 
 def numpy_distance(metric: str) -> Callable:

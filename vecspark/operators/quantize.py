@@ -141,6 +141,26 @@ def _multi_bit_estimates(q: np.ndarray, code: np.ndarray, mu: np.ndarray, lo: np
     return est
 
 
+def _multi_bit_rounded(q: np.ndarray, code: np.ndarray, mu: np.ndarray, lo: np.ndarray, scale: np.ndarray, digits: int) -> np.ndarray:
+    """``_multi_bit_estimates`` (L2), rounded: by a matrix product, and directly where its error could round another way."""
+    r, qr = code * scale[:, None] + lo[:, None], q - mu
+    x = r + mu
+    est = r @ qr.T
+    est *= -2
+    est += (qr * qr).sum(1)
+    est += (r * r).sum(1)[:, None]
+    length = lambda v: np.sqrt((v * v).sum(-1)).max()
+    off = 16 * np.finfo(np.float64).eps * (q.shape[1] + 4) * (length(q) + length(x) + 2 * length(mu)) ** 2 * 10.0**digits
+    scaled = est * 10.0**digits
+    scaled -= np.rint(scaled)
+    at, near = np.nonzero(~(np.abs(scaled) < 0.5 - off))
+    for s in range(0, len(at), 65536):
+        a, b = at[s : s + 65536], near[s : s + 65536]
+        d = q[b] - x[a]
+        est[a, b] = np.einsum("ij,ij->i", d, d)
+    return numpy_rounded(est, digits)
+
+
 def estimates(codes: DataFrame, queries: DataFrame, bits: int, metric: str = "L2", digits: int | None = None, n: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``(qid, vec_id, est)`` of every row of ``codes`` for each of ``queries(qid, embedding)``, rounded if ``digits`` are given.
 
@@ -157,8 +177,12 @@ def estimates(codes: DataFrame, queries: DataFrame, bits: int, metric: str = "L2
             for ids, code, mu, *numbers in _by_posting(batches, one):
                 for s in range(0, len(ids), step):
                     part = slice(s, s + step)
-                    est = make(q, code[part], mu, *(v[part] for v in numbers), metric).ravel()
-                    cols = [np.tile(qids, len(ids[part])), np.repeat(ids[part], len(q)), est if digits is None else numpy_rounded(est, digits)]
+                    read = q, code[part], mu, *(v[part] for v in numbers)
+                    if digits is None:
+                        est = make(*read, metric)
+                    else:
+                        est = _multi_bit_rounded(*read, digits) if metric == "L2" and not one else numpy_rounded(make(*read, metric), digits)
+                    cols = [np.tile(qids, len(ids[part])), np.repeat(ids[part], len(q)), est.ravel()]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["qid", "vec_id", "est"])
 
         n = rows.count() if n is None else n
